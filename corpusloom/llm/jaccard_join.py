@@ -122,6 +122,15 @@ def survivors(signs: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return live
 
 
+def first_meeting(signs: np.ndarray, i: np.ndarray, j: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Indices of the pairs that share no band before the given one: each pair is looked at in one bucket only."""
+    live = np.arange(len(i))
+    for k in range(int(band.max(initial=0))):
+        part = slice(ROWS * k, ROWS * (k + 1))
+        live = live[(band[live] <= k) | (signs[i[live], part] != signs[j[live], part]).any(axis=1)]
+    return live
+
+
 def group_pairs(block: np.ndarray):
     """Pairs of a group: in a group of one block all, in one of two blocks those across."""
     if block.min() == block.max():
@@ -162,11 +171,14 @@ class Roots(dict):
 def _candidate_forest(batches):
     for t, begins, ends in groups(batches, ["bucket", "lo", "hi"]):
         signs, nodes, block = _matrix(t.column("sign")), t.column("node").to_pylist(), t.column("block").to_numpy()
+        band = t.column("band").to_numpy()
         out, pi, pj, waiting = set(), [], [], 0
 
         def flush():
             if pi:
                 i, j = np.concatenate(pi), np.concatenate(pj)
+                new = first_meeting(signs, i, j, band[i])
+                i, j = i[new], j[new]
                 roots = Roots()
                 for k in survivors(signs, i, j).tolist():
                     a, b = roots.root(nodes[i[k]]), roots.root(nodes[j[k]])
@@ -243,12 +255,12 @@ def classes(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     by_node = signed.filter("node is not null").groupBy("node").agg(rep, F.count("*").alias("copies"), F.max("sign").alias("sign"))
     nodes = materialize(by_node, "join-nodes")
     keys = F.array(*(F.xxhash64(F.substring("sign", 1 + 4 * ROWS * i, 4 * ROWS), F.lit(i)) for i in range(BANDS)))
-    banded = nodes.select("node", F.explode(keys).alias("bucket"))
+    banded = nodes.select("node", F.posexplode(keys).alias("band", "bucket"))
     counts = banded.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     shared = materialize(banded.join(counts, "bucket"), "join-buckets")
     signs = nodes.select("node", "sign")
     groups_ = dealt(shared.join(signs, "node"), "bucket", "members")
-    forest = stream(groups_, ["bucket", "lo", "hi"]).select("bucket", "lo", "hi", "block", "node", "sign").mapInArrow(_candidate_forest, "a binary, b binary")
+    forest = stream(groups_, ["bucket", "lo", "hi"]).select("bucket", "lo", "hi", "block", "band", "node", "sign").mapInArrow(_candidate_forest, "a binary, b binary")
     clusters = components(forest).withColumnRenamed("label", "cluster_node")
     sizes = clusters.groupBy("cluster_node").agg(F.count("*").alias("members"))
     clusters = clusters.join(sizes, "cluster_node").join(nodes.select("node", "copies", "rep"), "node")
