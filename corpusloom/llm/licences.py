@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from .common import materialize, small
 #: Header statements by SPDX identifier.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "CC-BY-4.0": "This work is licensed under the Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
@@ -38,6 +39,8 @@ TEMPLATES = {
     "Proprietary": "All rights reserved.",
 }
 THRESHOLD = 0.7
+#: Words of any English text; they are marks only where a template can't do without.
+COMMON = frozenset("a all and are as at be by for from in is it not of on or that the this to use was with without".split())
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
 
 
@@ -50,16 +53,20 @@ class Model:
         n = len(templates)
         self.unseen = math.log(1 + n) + 1
         self.idf = {t: math.log((1 + n) / (1 + k)) + 1 for t, k in df.items()}
-        self.rows, marks = [], set()
+        self.rows, marks, self.together = [], set(), []
         for name, c in sorted(terms.items()):
             norm = math.sqrt(sum((k * self.idf[t]) ** 2 for t, k in c.items()))
             weights = {t: k * self.idf[t] / norm for t, k in c.items()}
             self.rows += [(name, t, w, self.idf[t]) for t, w in sorted(weights.items())]
             # by Cauchy-Schwarz a line with only the other terms has at most the cosine sqrt(rest)
-            rest = 1.0
-            for t, w in sorted(weights.items(), key=lambda x: (df[x[0]], -x[1], x[0])):
+            rest, order = 1.0, sorted(weights.items(), key=lambda x: (x[0] in COMMON, df[x[0]], -x[1], x[0]))
+            for i, (t, w) in enumerate(order):
                 if rest < threshold**2:
                     break
+                if t in COMMON and (needed := [u for u, v in order[i:] if rest - v * v < threshold**2]):
+                    # the common words alone reach it only with all of these, and with enough of the others
+                    self.together.append((sorted(needed), [(u, v * v) for u, v in order[i:]]))
+                    break
                 marks.add(t)
                 rest -= w * w
         self.marks = sorted(marks)
@@ -74,7 +81,16 @@ def scan(files: DataFrame, templates=None, threshold=THRESHOLD, licence_file=Non
     directory = F.coalesce(F.regexp_extract(F.col("path"), r"^(.*)/[^/]*$", 1), F.lit(""))
     f = files.select("key", F.coalesce("path", F.lit("")).alias("path"), "text")
     marked = r"(?i)(?<![a-z0-9])(?:" + "|".join(model.marks) + r")(?![a-z0-9])"
-    lines = f.filter(F.col("text").rlike(marked)).select("key", "path", F.posexplode(F.split("text", "\n")).alias("line", "words")).filter(F.col("words").rlike(marked))
+    word = lambda c, t: c.rlike(rf"(?i)(?<![a-z0-9]){t}(?![a-z0-9])")
+
+    def can_fit(c):
+        out = c.rlike(marked)
+        for needed, terms in model.together:
+            mass = reduce(lambda a, b: a + b, [F.when(word(c, t), w).otherwise(0.0) for t, w in terms])
+            out = out | (reduce(lambda a, b: a & b, [word(c, t) for t in needed]) & (mass >= threshold**2 - 1e-9))
+        return out
+
+    lines = f.filter(can_fit(F.col("text"))).select("key", "path", F.posexplode(F.split("text", "\n")).alias("line", "words")).filter(can_fit(F.col("words")))
     lines = lines.select("key", "path", "line", F.explode(F.regexp_extract_all(F.translate("words", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("[a-z0-9]+"), F.lit(0))).alias("term"))
     counted = lines.groupBy("key", "path", "line", "term").agg(F.count("*").alias("n"))
     idf = F.broadcast(spark.createDataFrame(sorted(model.idf.items()), "i_term string, idf double"))
