@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,3 +139,23 @@ def chunks(sizes: list[int], most: int):
 def utf8(texts) -> list[bytes]:
     """Whole texts as UTF-8, null as empty."""
     return [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+
+
+#: Arrow batches are cut at this many bytes where the session can do that, so that long texts don't add up in a worker.
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Set the byte limit of Arrow batches, unless the session has a lower one."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", str(spark.conf.get(name)).strip().lower())
+    if not now or int(now[1]) <= 0 or int(now[1]) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def text_pieces(batch, column: int, most: int):
+    """(begin, end, texts as str or None) of consecutive rows with at most `most` bytes of text; only these become objects."""
+    c = batch.column(column)
+    sizes = pc.fill_null(pc.binary_length(c), 0).to_pylist()
+    for begin, end in chunks(sizes, most):
+        yield begin, end, c.slice(begin, end - begin).to_pylist()

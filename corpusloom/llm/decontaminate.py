@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_LETTER, LETTERS, Batch, chunks, materialize, row_key, utf8
+from .common import IS_LETTER, LETTERS, Batch, bounded_batches, materialize, row_key, text_pieces, utf8
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 SAMPLE = 8
 TERMINATOR, SEPARATOR, FIRST_WORD = 0, 1, 2
 
@@ -189,9 +189,8 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 def _search(phrases: Phrases):
     def run(batches):
         for b in batches:
-            texts = [t.translate(LETTERS) for t in utf8(b.column(2).to_pylist())]
-            for begin, end in chunks([len(t) for t in texts], SHARD_BYTES):
-                n_words, found = search_shard(texts[begin:end], phrases)
+            for begin, end, texts in text_pieces(b, 2, SHARD_BYTES):
+                n_words, found = search_shard([t.translate(LETTERS) for t in utf8(texts)], phrases)
                 s = b.slice(begin, end - begin)
                 spans = [[{"start": int(x), "end": int(y)} for x, y in found[i][0]] if i in found else [] for i in range(end - begin)]
                 items = [[phrases.ids[k] for k in sorted(found[i][1])] if i in found else [] for i in range(end - begin)]
@@ -224,6 +223,7 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id="doc_id", text="text", it
     d = docs.select(row_key(doc_id, text).alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
     schema = f"key long, doc_id {kind}, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
+    bounded_batches(d.sparkSession)
     parts = [d.mapInArrow(_search(Phrases(items, window)), schema) for items in blocks(benchmark, item_id, item_text, block_words)]
     if len(parts) == 1:
         return parts[0]
@@ -269,19 +269,19 @@ def cut(text: str, spans) -> str:
 def _clean(phrases: Phrases):
     def run(batches):
         for b in batches:
-            column = b.column(b.schema.names.index("text"))
-            texts = column.to_pylist()
-            lower = [t.translate(LETTERS) for t in utf8(texts)]
-            for begin, end in chunks([len(t) for t in lower], SHARD_BYTES):
-                for d, (spans, _) in search_shard(lower[begin:end], phrases)[1].items():
-                    texts[begin + d] = cut(texts[begin + d], spans.tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(texts, c.type) if n == "text" else c for n, c in zip(b.schema.names, b.columns, strict=True)], schema=b.schema)
+            kept = []
+            for _, _, texts in text_pieces(b, b.schema.names.index("text"), SHARD_BYTES):
+                for d, (spans, _) in search_shard([t.translate(LETTERS) for t in utf8(texts)], phrases)[1].items():
+                    texts[d] = cut(texts[d], spans.tolist())
+                kept += texts
+            yield pa.RecordBatch.from_arrays([pa.array(kept, c.type) if n == "text" else c for n, c in zip(b.schema.names, b.columns, strict=True)], schema=b.schema)
 
     return run
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window=WINDOW, block_words=BLOCK_WORDS) -> DataFrame:
     """docs with all removal spans cut out, with the columns of docs (n_chars counts the new text). Blocks are cut in turn."""
+    bounded_batches(docs.sparkSession)
     out = docs
     for items in blocks(benchmark, "item_id", "text", block_words):
         out = out.mapInArrow(_clean(Phrases(items, window)), docs.schema)

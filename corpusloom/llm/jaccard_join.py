@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_LETTER, LETTERS, Batch, chunks, materialize, mix, row_key, shingles, small, span_hash, prefix_hash, utf8
+from .common import IS_LETTER, LETTERS, Batch, bounded_batches, materialize, mix, prefix_hash, row_key, shingles, small, span_hash, text_pieces, utf8
 from .graph import components
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 ROWS, BANDS, STEP = 4, 24, 16
 HASHES = ROWS * BANDS
 BLOCK = 256
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 PAIRS = 1 << 16
 _U = np.uint64
 _rng = np.random.default_rng(20240607)
@@ -88,9 +88,8 @@ def node_of(s: np.ndarray) -> bytes | None:
 
 
 def _sets(b, column):
-    texts = [t.translate(LETTERS) for t in utf8(b.column(column).to_pylist())]
-    for begin, end in chunks([len(t) for t in texts], CHUNK):
-        yield begin, end, shingle_sets(texts[begin:end])
+    for begin, end, texts in text_pieces(b, column, CHUNK):
+        yield begin, end, shingle_sets([t.translate(LETTERS) for t in utf8(texts)])
 
 
 def _sign(batches):
@@ -250,6 +249,7 @@ def classes(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     """key, doc_id, node, class_id, class_key (of the row that stands for the class), n_links: a row per document."""
     d = docs.select(row_key(doc_id, text).alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
+    bounded_batches(d.sparkSession)
     signed = materialize(d.mapInArrow(_sign, f"key long, doc_id {kind}, node binary, sign binary"), "join-signs")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("rep")
     by_node = signed.filter("node is not null").groupBy("node").agg(rep, F.count("*").alias("copies"), F.max("sign").alias("sign"))

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
 NEAR, ACCEPT = 48, 0.6
@@ -154,6 +156,7 @@ def _scan(batches):
 def detect(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     """doc_id, found (array of start, end, kind, score), base_sha256."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    bounded_batches(d.sparkSession)
     kind = d.schema["doc_id"].dataType.simpleString()
     return d.mapInArrow(_scan, f"doc_id {kind}, found array<struct<start:int,end:int,kind:string,score:double>>, base_sha256 string")
 
@@ -167,5 +170,6 @@ def _redact(batches):
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with their text redacted; every other column as it was, but n_chars, where there is one, counts the new text."""
+    bounded_batches(docs.sparkSession)
     out = docs.mapInArrow(_redact, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

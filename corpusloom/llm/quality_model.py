@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, Batch, chunks, materialize, mix, row_key, span_hash, utf8
+from .common import IS_SPACE, Batch, bounded_batches, materialize, mix, row_key, span_hash, text_pieces, utf8
 
 TRAIN_ROWS = 20_000
 BINS, PAIR_BINS, LEAVES, ROUNDS, PAIR_ROUNDS, PAIRS, RATE, LEAST_WEIGHT = 48, 8, 4, 150, 60, 8, 0.15, 20.0
@@ -79,9 +79,8 @@ def features(texts: list[bytes]) -> np.ndarray:
 
 def _featurise(batches):
     for b in batches:
-        texts = utf8(b.column(2).to_pylist())
-        for begin, end in chunks([len(t) for t in texts], CHUNK):
-            x = features(texts[begin:end])
+        for begin, end, texts in text_pieces(b, 2, CHUNK):
+            x = features(utf8(texts))
             s = b.slice(begin, end - begin)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), flat], ["key", "doc_id", "x"])
@@ -216,6 +215,7 @@ def classify(docs: DataFrame, labels: DataFrame, label="quality", doc_id="doc_id
     """doc_id, held_out, score, predicted."""
     d = docs.select(row_key(doc_id, text).alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
+    bounded_batches(d.sparkSession)
     featured = materialize(d.mapInArrow(_featurise, f"key long, doc_id {kind}, x array<float>"), "quality-features")
     model = train(featured, labels, label, rows)
 

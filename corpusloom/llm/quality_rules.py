@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LETTERS, Batch, chunks, materialize, mix, row_key, shingles, small, span_hash, utf8
+from .common import IS_SPACE, LETTERS, Batch, bounded_batches, materialize, mix, row_key, shingles, small, span_hash, text_pieces, utf8
 
 MIN_WORDS, REPEAT_PERCENT = 10, 20
 MIN_DOCS, SHARE, LEAST_LEFT = 20, 0.05, 0.2
 SYMBOLS = np.array([chr(c) in "#*$%&|<>" for c in range(256)])
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _U = np.uint64
 
@@ -81,9 +81,8 @@ def repeats(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _profile(batches):
     for b in batches:
-        texts = utf8(b.column(3).to_pylist())
-        for begin, end in chunks([len(t) for t in texts], CHUNK):
-            part = texts[begin:end]
+        for begin, end, texts in text_pieces(b, 3, CHUNK):
+            part = utf8(texts)
             counts = count_rules(part)
             lines, ident = [], []
             for t in part:
@@ -102,6 +101,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 def profile(docs: DataFrame, doc_id="doc_id", host="source", text="text") -> DataFrame:
     d = docs.select(row_key(doc_id, text).alias("key"), F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.col(text).alias("text"))
+    bounded_batches(d.sparkSession)
     kinds = [d.schema[c].dataType.simpleString() for c in ("doc_id", "host")]
     counts = ", ".join(f"{c} long" for c in COUNTS)
     return d.mapInArrow(_profile, f"key long, doc_id {kinds[0]}, host {kinds[1]}, {counts}, ident long, lines array<struct<h:long,w:int>>")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import bounded_batches, utf8
 
 MEMO = 200_000
 
@@ -130,4 +130,5 @@ def count_tokens(docs: DataFrame, vocabulary: str | list[bytes], doc_id="doc_id"
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i] for x in found], pa.int64()) for i in range(3))], ["doc_id", "n_words", "n_tokens", "n_unknown"])
 
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    bounded_batches(d.sparkSession)
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_words long, n_tokens long, n_unknown long")
