@@ -7,7 +7,9 @@ without a licence of its own inherits that of the nearest directory above it.
 
 IDF comes from the templates: a term of no template weighs ln(1 + templates) + 1. A line reaches the threshold only if it
 has a term from some template's `marks`, the terms without which the template's cosine with any line stays below THRESHOLD;
-lines without a mark are left out before they are split into terms, so the prefilter loses nothing.
+lines without a mark are left out before they are split into terms, so the prefilter loses nothing. Of the rest, a line is
+shuffled only if its cosine can reach THRESHOLD when each of its other words counts as unlike all others, which makes its
+norm the least (n equal words weigh n^2, n different ones n); the template terms in that bound are counted within the row.
 
 Defined results: null and empty texts have no licence of their own and inherit; a null path is a file named "" at the top;
 equal rows give equal rows; a line of any length is one line; ties between templates go to the first name; empty tables give
@@ -90,8 +92,28 @@ def scan(files: DataFrame, templates=None, threshold=THRESHOLD, licence_file=Non
             out = out | (reduce(lambda a, b: a & b, [word(c, t) for t in needed]) & (mass >= threshold**2 - 1e-9))
         return out
 
-    lines = f.filter(can_fit(F.col("text"))).select("key", "path", F.posexplode(F.split("text", "\n")).alias("line", "words")).filter(can_fit(F.col("words")))
-    lines = lines.select("key", "path", "line", F.explode(F.regexp_extract_all(F.translate("words", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("[a-z0-9]+"), F.lit(0))).alias("term"))
+    known = sorted(model.idf)
+    array = lambda xs: F.array(*map(F.lit, xs))
+    idf_at = array([model.idf[t] for t in known])
+    weights = {name: {t: w for n, t, w, _ in model.rows if n == name} for name in templates or TEMPLATES}
+    weights_at = [array([w.get(t, 0.0) for t in known]) for _, w in sorted(weights.items())]
+    let = lambda value, then: F.exists(F.array(value), then)  # noqa: E731  evaluates value once a row
+
+    def may_reach(terms):
+        def reaches(every, found, counts):
+            x = lambda s: s["n"] * F.get(idf_at, s["at"])
+            norm = F.aggregate(counts, F.lit(0.0), lambda a, s: a + x(s) * x(s)) + model.unseen**2 * (F.size(every) - F.size(found))
+            dot = lambda w: F.aggregate(counts, F.lit(0.0), lambda a, s: a + x(s) * F.get(w, s["at"]))
+            dots = [dot(w) for w in weights_at]
+            best = F.greatest(*dots) if len(dots) > 1 else dots[0]
+            return best * best >= (threshold - 1e-6) ** 2 * norm
+
+        count = lambda found: F.transform(F.array_distinct(found), lambda t: F.struct((F.array_position(array(known), t) - 1).cast("int").alias("at"), F.size(F.filter(found, lambda o: o == t)).alias("n")))
+        return let(terms, lambda every: let(F.filter(every, lambda t: t.isin(known)), lambda found: let(count(found), lambda counts: reaches(every, found, counts))))
+
+    terms = F.regexp_extract_all(F.translate("words", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("[a-z0-9]+"), F.lit(0))
+    lines = f.filter(can_fit(F.col("text"))).select("key", "path", F.posexplode(F.split("text", "\n")).alias("line", "words")).filter(can_fit(F.col("words")) & may_reach(terms))
+    lines = lines.select("key", "path", "line", F.explode(terms).alias("term"))
     counted = lines.groupBy("key", "path", "line", "term").agg(F.count("*").alias("n"))
     idf = F.broadcast(spark.createDataFrame(sorted(model.idf.items()), "i_term string, idf double"))
     weighed = counted.join(idf, F.col("term") == F.col("i_term"), "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(model.unseen)))

@@ -174,6 +174,33 @@ def test_licences_are_inherited(spark):
     assert got == {1: ("MIT", "MIT", None), 2: (None, "Apache-2.0", "a/b"), 3: ("Apache-2.0", "Apache-2.0", None), 4: (None, "Apache-2.0", "a/b"), 5: (None, None, None), 6: ("GPL-3.0", "GPL-3.0", None)}
 
 
+def test_licence_prefilter_loses_no_line(spark):
+    """Lines with template words, strangers and repeats: the same licences as by plain TF-IDF cosines."""
+    rng, model = random.Random(1), licences.Model(licences.TEMPLATES, licences.THRESHOLD)
+    words = [w for v in licences.TEMPLATES.values() for w in v.split()]
+    rows = []
+    for i in range(600):
+        base = rng.choice(list(licences.TEMPLATES.values())).split()
+        x = base[: rng.randrange(1, len(base) + 1)] + [rng.choice([*words, "zzz", "zzz", f"foo{rng.randrange(50)}"]) for _ in range(rng.randrange(12))]
+        rng.shuffle(x)
+        rows.append((i, f"d{i}/x", " ".join(x * rng.choice((1, 1, 2)))))
+    vectors = {}
+    for name, t, w, _ in model.rows:
+        vectors.setdefault(name, {})[t] = w
+
+    def own(line):
+        x = {}
+        for t in re.findall("[a-z0-9]+", line.lower()):
+            x[t] = x.get(t, 0) + model.idf.get(t, model.unseen)
+        norm = sum(v * v for v in x.values()) ** 0.5
+        score, _, name = max((round(sum(v * w.get(t, 0) for t, v in x.items()) / norm, 9), -i, n) for i, (n, w) in enumerate(sorted(vectors.items())))
+        return name if score >= licences.THRESHOLD else None
+
+    got = {r.key: r.own_licence for r in licences.scan(spark.createDataFrame(rows, "key long, path string, text string")).collect()}
+    want = {k: own(t) for k, _, t in rows}
+    assert got == want and sum(v is not None for v in want.values()) > 50
+
+
 def shingle_set(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
