@@ -1,0 +1 @@
+from . import gates, rules  # noqa: F401  they add their queries to those of `queries`

@@ -73,3 +73,70 @@ def commit(spark: SparkSession, staged: str, final: str) -> None:
     fs = a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(b) or not fs.rename(a, b):
         raise FileExistsError(final)
+
+
+def _place(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None if there is none. Needs a file system with rename, such as HDFS or a shared folder."""
+    p, fs = _place(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A new small file; an existing one is an error."""
+    p, fs = _place(spark, path)
+    stream = fs.create(p, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write beside the file, then take its place."""
+    staged = f"{path}.staged"
+    p, fs = _place(spark, path)
+    s, _ = _place(spark, staged)
+    fs.delete(s, False)
+    write_text(spark, staged, text)
+    fs.delete(p, False)
+    if not fs.rename(s, p):
+        raise OSError(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p, fs = _place(spark, path)
+    fs.delete(p, True)
+
+
+def write_or_verify(spark: SparkSession, path: str, text: str, ignore: str = r"(?!)") -> bool:
+    """Whether the file was written. One that is there must have this text, but for what `ignore` matches."""
+    import re
+
+    there = read_text(spark, path)
+    if there is None:
+        write_text(spark, path, text)
+    elif re.sub(ignore, "", there) != re.sub(ignore, "", text):
+        raise ValueError(f"{path} has other content")
+    return there is None
+
+
+def write_if_changed(spark: SparkSession, path: str, text: str, ignore: str = r"(?!)") -> bool:
+    """Whether the file was written: only if it differs in more than what `ignore` matches, such as its timestamp."""
+    import re
+
+    there = read_text(spark, path)
+    if there is not None and re.sub(ignore, "", there) == re.sub(ignore, "", text):
+        return False
+    replace_text(spark, path, text)
+    return True
