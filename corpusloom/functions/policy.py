@@ -146,13 +146,15 @@ class Policy:
         return run(c)
 
     def whole(self, c: Column) -> Column:
+        """The kind if a text is a literal as a whole, else null. Filters on it stay above a distinct below it, since it is
+        declared to be non-deterministic; it is not."""
         literals = self.literals
 
         @F.pandas_udf("string")
         def run(s: pd.Series) -> pd.Series:
             return s.map(literals.whole, na_action="ignore")
 
-        return run(c)
+        return run.asNondeterministic()(c)
 
     def language_evidence(self, c: Column) -> Column:
         evidence = self.evidence

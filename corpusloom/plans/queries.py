@@ -402,7 +402,7 @@ _TERMS = "t AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(text, '
 @query(f"WITH {_TERMS} SELECT df.term, df.n, (SELECT f.form FROM forms f WHERE f.term = df.term ORDER BY f.c DESC, f.form LIMIT 1) AS surface FROM df ORDER BY n DESC, term LIMIT 200")
 def document_frequency_top(spark, d):
     """The 200 terms in most turns, each with its most frequent form; ties go to the lesser text."""
-    t = table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))).alias("form")).withColumn("term", F.lower("form"))
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("form")).distinct().withColumn("term", F.lower("form"))
     forms = t.groupBy("term", "form").agg(F.count("*").alias("c"))
     best = forms.groupBy("term").agg(F.min(F.struct((-F.col("c")).alias("c"), "form")).alias("b")).select("term", F.col("b.form").alias("surface"))
     df = t.select("conv_id", "turn", "term").distinct().groupBy("term").agg(F.count("*").alias("n"))

@@ -31,7 +31,7 @@ def literal_spans(spark, d):
 @query()
 def whole_literals(spark, d):
     """Distinct words that are a literal as a whole, with their kind."""
-    w = table(spark, d, "documents").select(F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word")).filter("word <> ''").distinct()
+    w = table(spark, d, "documents").select(F.explode(F.split("text", r"\s+")).alias("word")).filter("word <> ''").distinct()
     return w.select("word", POLICY.whole(F.col("word")).alias("kind")).filter("kind is not null")
 
 

@@ -88,3 +88,20 @@ def test_evidence(spark):
     e = POLICY.language_evidence(F.col("t"))
     got = [tuple(r.e) for r in spark.createDataFrame(rows, "t string").select(e.alias("e")).collect()]
     assert got == [(2, 0, 0, 0, 2), (1, 0, 0, 2, 1), (0, 3, 0, 0, 0), (0, 0, 0, 0, 0), (0, 0, 0, 0, 0)]
+
+
+def test_skipped_patterns_never_match(monkeypatch):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    bits = st.sampled_from("a B 1 . / : = ( ) @ _ - < > ` ~ \\ http www file vn com localhost Dockerfile error 404 é :: --x ++".split() + [" "])
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(bits, max_size=14).map("".join))
+    def check(text):
+        quick = POLICY.literals.spans(text)
+        with monkeypatch.context() as m:
+            m.setattr(L, "NEEDS", dict.fromkeys(L.PATTERNS, ("",)))
+            assert POLICY.literals.spans(text) == quick
+
+    check()
