@@ -39,6 +39,49 @@ def read_lexicon(spark: SparkSession, path: str, names: tuple[str, ...]) -> Data
     return lines.select(F.lower(cells[0]).alias(names[0]), *cells[1:])
 
 
+def read_sheet(spark: SparkSession, path: str, names: tuple[str, ...], delimiter: str = ",", skip: int = 0) -> DataFrame:
+    """A review sheet, a small file: `skip` lines and a byte order mark left out, cells as text. Its header must have
+    `names`. Quoted cells may hold line breaks."""
+    import csv
+    import io
+
+    text = (read_text(spark, path) or "").removeprefix("\ufeff")
+    rows = list(csv.reader(io.StringIO(text.split("\n", skip)[-1] if skip else text, newline=""), delimiter=delimiter))
+    if not rows or not set(names) <= set(rows[0]):
+        raise ValueError(f"{path} lacks columns of {names}")
+    width = len(rows[0])
+    return spark.createDataFrame([(r + [None] * width)[:width] for r in rows[1:] if r], ", ".join(f"`{n}` string" for n in rows[0]))
+
+
+def sheet_problems(sheet: DataFrame, ids: DataFrame, key: str, labels: tuple[str, ...], allowed=("yes", "no", "unclear")) -> DataFrame:
+    """key, problem: ids that are blank, repeated, missing or not asked for, and labels that aren't allowed."""
+    n = sheet.groupBy(key).agg(F.count("*").alias("_n"), *(F.bool_and(F.coalesce(F.col(c).isin(*allowed), F.lit(False))).alias(c) for c in labels))
+    x = n.join(ids.select(F.col(key).alias("_id")).distinct(), F.col(key).eqNullSafe(F.col("_id")), "full_outer")
+    here = F.col("_n").isNotNull()
+    faults = F.array_compact(
+        F.array(
+            F.when(here & (F.trim(F.coalesce(key, F.lit(""))) == ""), "blank_id"),
+            F.when(F.col("_n") > 1, "repeated"),
+            F.when(~here, "missing"),
+            F.when(here & F.col("_id").isNull(), "not_asked"),
+            *(F.when(here & ~F.col(c), f"{c}_not_allowed") for c in labels),
+        )
+    )
+    return x.select(F.coalesce(key, "_id").alias(key), F.explode(faults).alias("problem"))
+
+
+def read_documents(spark: SparkSession, folder: str, schema: str, key: str = "id") -> DataFrame:
+    """JSON documents, one a file; a damaged one, or one without its key, is skipped."""
+    x = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json").select(F.from_json("value", schema).alias("d")).select("d.*")
+    return x.filter(F.col(key).isNotNull())
+
+
+def read_cases(spark: SparkSession, path: str, case: str) -> DataFrame:
+    """The cases of a JSON file {"cases": [...]}, in order, by the schema of one case; one without an id is an error."""
+    x = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"cases array<struct<{case}>>")["cases"]).alias("i", "c"))
+    return x.select("i", "c.*").withColumn("id", F.when(F.col("id").isNull(), F.raise_error(F.lit("a case without an id"))).otherwise(F.col("id")))
+
+
 def read_shards(spark: SparkSession, path: str, schema: str, key: str, order: str) -> DataFrame:
     """Rows of all shards, of equal keys the one with the greatest `order`."""
     x = spark.read.schema(schema).json(path)
