@@ -201,17 +201,24 @@ def _search(phrases: Phrases):
     return run
 
 
+def distinct_items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text")).filter("text is not null").distinct()
+
+
+def n_blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> int:
+    total = distinct_items(benchmark, item_id, text).agg(F.sum(F.length("text"))).first()[0] or 0
+    return 1 if total <= 4 * block_words else -(-total // (2 * block_words))
+
+
 def blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int):
     """The items in blocks of bounded size: numbered by running length, each block collected alone."""
     from pyspark.sql import Window
 
-    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text")).filter("text is not null").distinct()
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    if total <= 4 * block_words:
+    items, n = distinct_items(benchmark, item_id, text), n_blocks(benchmark, item_id, text, block_words)
+    if n == 1:
         rows = items.collect()
         yield [(r.item, t) for r, t in zip(rows, utf8([r.text for r in rows]), strict=True)]
         return
-    n = -(-total // (2 * block_words))
     dealt = materialize(items.withColumn("_block", F.pmod(F.xxhash64("item", "text"), F.lit(n))), "benchmark-blocks")
     for k in range(n):
         rows = dealt.filter(F.col("_block") == k).collect()
@@ -279,10 +286,27 @@ def _clean(phrases: Phrases):
     return run
 
 
+def _cut(batches):
+    for b in batches:
+        names = b.schema.names
+        texts, spans = b.column(names.index("text")).to_pylist(), b.column(len(names) - 1).to_pylist()
+        kept = [cut(t, [(x["start"], x["end"]) for x in s]) if s else t for t, s in zip(texts, spans, strict=True)]
+        cols = [pa.array(kept, c.type) if n == "text" else c for n, c in zip(names, b.columns, strict=True)][:-1]
+        yield pa.RecordBatch.from_arrays(cols, names[:-1])
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window=WINDOW, block_words=BLOCK_WORDS) -> DataFrame:
-    """docs with all removal spans cut out, with the columns of docs (n_chars counts the new text). Blocks are cut in turn."""
+    """docs with all removal spans cut out, with the columns of docs (n_chars counts the new text).
+
+    Spans of all blocks are found in the original text and cut at once, so the number of blocks doesn't change the result."""
     bounded_batches(docs.sparkSession)
-    out = docs
-    for items in blocks(benchmark, "item_id", "text", block_words):
-        out = out.mapInArrow(_clean(Phrases(items, window)), docs.schema)
+    if n_blocks(benchmark, "item_id", "text", block_words) == 1:
+        (items,) = blocks(benchmark, "item_id", "text", block_words)
+        out = docs.mapInArrow(_clean(Phrases(items, window)), docs.schema)
+    else:
+        found = find(docs, benchmark, window=window, block_words=block_words).filter("size(spans) > 0")
+        found = found.select(F.col("key").alias("_f_key"), F.col("doc_id").alias("_f_id"), F.col("spans").alias("_spans")).dropDuplicates(["_f_key", "_f_id"])
+        found = materialize(found, "decontaminate-spans")
+        d = docs.withColumn("_row_key", row_key()).join(found, (F.col("_row_key") == F.col("_f_key")) & F.col("doc_id").eqNullSafe(F.col("_f_id")), "left")
+        out = d.select(*docs.columns, "_spans").mapInArrow(_cut, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from corpusloom.llm import pii
+from corpusloom.llm import decontaminate, pii
 
 
 @pytest.mark.parametrize("before, iban, after", [
@@ -27,3 +27,16 @@ def test_runs_of_iban_characters_stay_linear():
     rng = random.Random(1)
     text = " ".join("".join(rng.choice("AB12") for _ in range(rng.randint(1, 6))) for _ in range(100_000))
     list(pii.ibans(text))
+
+
+def test_cutting_in_blocks_equals_cutting_at_once(spark):
+    rng = random.Random(3)
+    passages = [[f"p{k}x{i}" for i in range(40)] for k in range(6)]
+    items = [(10 * k + j, " ".join(p[6 * j : 6 * j + 14])) for k, p in enumerate(passages) for j in range(5)]
+    rows = [(i, " ".join([f"a{rng.randrange(99)}"] * 20 + passages[i % 6] + [f"b{rng.randrange(99)}"] * 20)) for i in range(24)]
+    rows += [rows[0], (None, rows[1][1]), (50, None), (51, "clean text")]
+    d = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = lambda block_words: sorted(map(str, decontaminate.decontaminated(d, bench, block_words=block_words).collect()))
+    assert decontaminate.n_blocks(bench, "item_id", "text", 400) > 1
+    assert got(400) == got(decontaminate.BLOCK_WORDS)
