@@ -3,7 +3,8 @@
 Words are runs of characters other than blanks (space and \\x09-\\x0D). Per document: the characters in words, symbols,
 lines equal to an earlier one, words in 5-word windows that occur twice. Across documents: each line is normalised (A-Z
 lower-cased, blanks single), and the documents of a host that have it are counted. Copies must not make a line frequent, so
-documents are told apart by the least MD5 of their lines: exact copies, and near copies that share that line, count once.
+documents of one near-duplicate class (operator 6) count once, and else those of equal normalised lines. No line that two
+documents share makes them one.
 A line in more than max(MIN_DOCS, SHARE of the host's documents so counted) is boilerplate; a document is rejected when
 fewer than MIN_WORDS words, or less than LEAST_LEFT of its words, are left without such lines.
 
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard_join
 from .common import IS_SPACE, LETTERS, Batch, bounded_batches, materialize, mix, row_key, shingles, small, span_hash, text_pieces, utf8
 
 MIN_WORDS, REPEAT_PERCENT = 10, 20
@@ -37,6 +39,11 @@ def line_id(line: bytes) -> int:
     return int.from_bytes(hashlib.md5(line).digest()[:8], "big", signed=True)
 
 
+def text_id(lines: list[tuple[int, int]]) -> int:
+    """One value for all lines of a text, in their order."""
+    return line_id(b"".join(h.to_bytes(8, "big", signed=True) for h, _ in lines))
+
+
 def lines_of(text: bytes) -> dict[bytes, int]:
     """Words in each normalised line, by line; lines without a word are left out."""
     out: dict[bytes, int] = {}
@@ -88,10 +95,10 @@ def _profile(batches):
             for t in part:
                 found = [(line_id(k), v) for k, v in lines_of(t).items()]
                 lines.append([{"h": h, "w": w} for h, w in found])
-                ident.append(min((h & 0xFFFFFFFFFFFFFFFF for h, _ in found), default=None))
+                ident.append(text_id(found) if found else None)
             s = b.slice(begin, end - begin)
             cols = [s.column(0), s.column(1), s.column(2), *(pa.array(counts[c], pa.int64()) for c in COUNTS)]
-            cols += [pa.array([None if x is None else x - (1 << 64) if x >> 63 else x for x in ident], pa.int64())]
+            cols += [pa.array(ident, pa.int64())]
             cols += [pa.array(lines, pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int32())])))]
             yield pa.RecordBatch.from_arrays(cols, ["key", "doc_id", "host", *COUNTS, "ident", "lines"])
 
@@ -107,6 +114,14 @@ def profile(docs: DataFrame, doc_id="doc_id", host="source", text="text") -> Dat
     return d.mapInArrow(_profile, f"key long, doc_id {kinds[0]}, host {kinds[1]}, {counts}, ident long, lines array<struct<h:long,w:int>>")
 
 
+def with_classes(p: DataFrame, classes: DataFrame) -> DataFrame:
+    """p with the near-duplicate class as ident, for documents that have others in theirs."""
+    c = classes.filter("n_links > 0").select(F.col("key").alias("c_key"), F.col("doc_id").alias("c_id"), "class_key").distinct()
+    c, _ = small(materialize(c, "rules-classes"), 48)
+    out = p.join(c, (F.col("key") == F.col("c_key")) & F.col("doc_id").eqNullSafe(F.col("c_id")), "left")
+    return out.withColumn("ident", F.when(F.col("ident").isNotNull(), F.coalesce("class_key", "ident"))).drop("c_key", "c_id", "class_key")
+
+
 def frequent_lines(p: DataFrame, min_docs=MIN_DOCS, share=SHARE) -> DataFrame:
     """(host, h): the lines above the limit. Both counts are of distinct (line, document) first, so a hot line is spread."""
     lines = p.filter("ident is not null").select("host", "ident", F.explode("lines.h").alias("h")).distinct()
@@ -119,7 +134,8 @@ def frequent_lines(p: DataFrame, min_docs=MIN_DOCS, share=SHARE) -> DataFrame:
 def judge(docs: DataFrame, doc_id="doc_id", host="source", text="text") -> tuple[DataFrame, DataFrame]:
     """(verdicts: key, doc_id, the counts, base_failed, left_words, kept; removals: key, doc_id, hashes of lines to remove)."""
     p = materialize(profile(docs, doc_id, host, text), "rules-profile")
-    often, fits = small(materialize(frequent_lines(p), "rules-lines").withColumnRenamed("host", "line_host"))
+    told_apart = with_classes(p.select("key", "doc_id", "host", "ident", "lines"), jaccard_join.classes(docs, doc_id, text))
+    often, fits = small(materialize(frequent_lines(told_apart), "rules-lines").withColumnRenamed("host", "line_host"))
     own = p.select("key", "doc_id", "host", F.explode("lines").alias("l")).select("key", "doc_id", "host", "l.h", "l.w")
     often = often.withColumnRenamed("h", "line_h")
     hit = own.join(often, (F.col("h") == F.col("line_h")) & F.col("host").eqNullSafe(F.col("line_host")))

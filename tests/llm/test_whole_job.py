@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from corpusloom.llm import decontaminate, pii
+from corpusloom.llm import decontaminate, pii, quality_rules
 
 
 @pytest.mark.parametrize("before, iban, after", [
@@ -40,3 +40,16 @@ def test_cutting_in_blocks_equals_cutting_at_once(spark):
     got = lambda block_words: sorted(map(str, decontaminate.decontaminated(d, bench, block_words=block_words).collect()))
     assert decontaminate.n_blocks(bench, "item_id", "text", 400) > 1
     assert got(400) == got(decontaminate.BLOCK_WORDS)
+
+
+def test_a_line_of_least_hash_is_boilerplate_too(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    least = min((f"read more in part {i}" for i in range(20_000)), key=lambda x: quality_rules.line_id(x.encode()) & 0xFFFFFFFFFFFFFFFF)
+    rows = [(i, prose(30) + "\n" + least, "h") for i in range(60)]  # unrelated, but one line
+    copy = prose(100)
+    rows += [(100 + i, f"{copy}\nthe end of this text\n{prose(2)}", "h") for i in range(60)]  # near copies
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.left_words for r in quality_rules.judge(d)[0].collect()}
+    assert {got[i] for i in range(60)} == {30} and {got[100 + i] for i in range(60)} == {107}
