@@ -1,9 +1,11 @@
 """Operator 7: URL rules, and trust propagated over the link graph for hosts that no rule decides.
 
 A rule (host and path prefix) fits its host and all subdomains; the longest that fits wins. For the rest, edges run between
-hosts: from a page's host to every other known host named in its html (in links or in text). Trust spreads from hosts with
+hosts: from a page's host to every other known host named in its html (the host of a whole URL, by the rule for the pages'
+own, or a name with an inner dot in text). Trust spreads from hosts with
 allowed pages by personalised PageRank along the edges; distrust spreads from hosts with blocked pages along the reversed
-edges, so that who links to blocked hosts is distrusted. A host is blocked where its distrust exceeds RATIO times its trust.
+edges, so that who links to blocked hosts is distrusted. Steps end when no score changes by more than TOLERANCE of itself,
+so every host that mass can reach has its share, however far it is. A host is blocked where its distrust exceeds RATIO times its trust.
 
 Defined results: a null url, or one without ://, has empty host and path and, as no rule fits and no host is known, is
 allowed; null html names no hosts; a host without edges or seeds is allowed; equal rows give equal results; empty tables
@@ -27,7 +29,7 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-DAMPING, STEPS, RATIO, CUT_EVERY = 0.85, 12, 1.0, 4
+DAMPING, TOLERANCE, RATIO, CUT_EVERY = 0.85, 1e-9, 1.0, 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -60,9 +62,12 @@ def with_rule(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def mentions(html):
-    """Names with an inner dot in html, lower-cased; the possessive runs make the scan linear."""
+    """Hosts of whole URLs, and names with an inner dot, in html, lower-cased; the possessive runs make the scan linear."""
+    urls = F.regexp_extract_all(html, F.lit(r"""://([^/?#\s"'<>]++)"""), F.lit(1))
     found = F.regexp_extract_all(html, F.lit(r"(?<![A-Za-z0-9.-])[A-Za-z0-9-]++\.[A-Za-z0-9.-]++"), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda x: F.rtrim(F.translate(x, _UPPER, _LOWER), F.lit("."))))
+    lower = lambda x: F.translate(x, _UPPER, _LOWER)
+    ended = F.concat(F.transform(urls, lower), F.transform(urls, lambda x: F.rtrim(lower(x), F.lit(".,;:!)"))))
+    return F.array_distinct(F.concat(ended, F.transform(found, lambda x: F.rtrim(lower(x), F.lit(".")))))
 
 
 def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
@@ -72,20 +77,32 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return counted.join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi").select("src", "dst", "pages")
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping=DAMPING, steps=STEPS) -> DataFrame:
-    """(kind, host, score) after the given number of steps. seeds: kind, host, seed (adding up to 1 a kind); edges: kind,
-    src, dst, w with weights of a source adding up to 1. Mass at hosts without edges is not handed on."""
-    rank = seeds.select("kind", "host", F.col("seed").alias("score"))
-    for i in range(steps):
+def settled(before: DataFrame, after: DataFrame, tolerance: float) -> bool:
+    """Whether no score of after differs from before's by more than tolerance of itself; scores of before stay in after."""
+    old = before.select(F.col("kind").alias("o_kind"), F.col("host").alias("o_host"), F.col("score").alias("old"))
+    both = after.join(old, (F.col("kind") == F.col("o_kind")) & (F.col("host") == F.col("o_host")), "left")
+    return both.filter(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))) > tolerance * F.col("score")).isEmpty()
+
+
+def propagate(seeds: DataFrame, edges: DataFrame, damping=DAMPING, steps=None, tolerance=TOLERANCE) -> DataFrame:
+    """(kind, host, score) after the given number of steps, or once settled. seeds: kind, host, seed (adding up to 1 a kind);
+    edges: kind, src, dst, w with weights of a source adding up to 1. Mass at hosts without edges is not handed on."""
+    rank = last = seeds.select("kind", "host", F.col("seed").alias("score"))
+    done = 0
+    while steps is None or done < steps:
         out = rank.withColumnRenamed("host", "src").join(edges, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("w") * damping).alias("score"))
         back = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
         rank = out.unionByName(back).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if (i + 1) % CUT_EVERY == 0:
+        done += 1
+        if done % CUT_EVERY == 0:
             rank = materialize(rank, "url-rank")
+            if steps is None and settled(last, rank, tolerance):
+                break
+            last = rank
     return rank
 
 
-def trust(ruled: DataFrame, edges: DataFrame, damping=DAMPING, steps=STEPS) -> DataFrame:
+def trust(ruled: DataFrame, edges: DataFrame, damping=DAMPING, steps=None) -> DataFrame:
     """(host, trust, distrust). Seeds are the shares of all allowed, and of all blocked, pages."""
     counts = ruled.filter("ruled is not null").groupBy(F.when(F.col("ruled") == "allow", "trust").otherwise("distrust").alias("kind"), "host").agg(F.count("*").alias("n"))
     counts = materialize(counts, "url-seeds")

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from corpusloom.llm import decontaminate, pii, quality_rules
+from corpusloom.llm import decontaminate, pii, quality_rules, url_filters
 
 
 @pytest.mark.parametrize("before, iban, after", [
@@ -53,3 +53,12 @@ def test_a_line_of_least_hash_is_boilerplate_too(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r.left_words for r in quality_rules.judge(d)[0].collect()}
     assert {got[i] for i in range(60)} == {30} and {got[100 + i] for i in range(60)} == {107}
+
+
+def test_distrust_reaches_far_hosts_and_all_link_targets(spark):
+    chain = [("http://h0.bad/", "")] + [(f"http://h{i}.org/", f"http://h{i - 1}.{'bad' if i == 1 else 'org'}/") for i in range(1, 18)]
+    odd = [("http://a_b:81/x", ""), ("http://localhost/", ""), ("http://é.bad2/", ""), ("http://x.org", "<a href='http://A_B:81/y'>"), ("http://y.org", "see http://localhost."), ("http://z.org", '"http://é.bad2?q"')]
+    p = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(chain + odd)], "page_id long, url string, html string")
+    rules = [("block", h, "/") for h in ("h0.bad", "a_b:81", "localhost")] + [("block", "é.bad2", "")]
+    got = {r.host: r.verdict for r in url_filters.judge(p, rules=rules).collect()}
+    assert [h for h, v in got.items() if v != "block"] == []
