@@ -10,7 +10,7 @@ fewer than MIN_WORDS words, or less than LEAST_LEFT of its words, are left witho
 
 Defined results: null and empty texts have no words and fail the base rule; a null host is a host of its own; equal rows
 give equal results; an empty table gives an empty one; other columns are ignored. The lines are counted from a table in the
-shared folder, so no text is read twice; a frequent line needs many documents, so what is joined back is small, and it is
+shared folder; the texts are read again for their classes; a frequent line needs many documents, so what is joined back is small, and it is
 broadcast only if its count says so.
 """
 
