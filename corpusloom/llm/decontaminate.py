@@ -12,7 +12,7 @@ merged, so its size is not bounded by one broadcast.
 
 Defined results: null and empty texts have no words and no hits; items without words are never found; items with equal ids
 count once; a null item id is the empty string; equal rows give equal results; an empty table, on either side, gives no
-hits; other columns are ignored.
+hits; other columns are ignored by find() and handed through by decontaminated(). A text of any length is a shard of its own.
 """
 
 from __future__ import annotations
@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_LETTER, LETTERS, Batch, bounded_batches, materialize, row_key, text_pieces, utf8
+from .common import IS_LETTER, LETTERS, Batch, bounded_batches, fresh, lean, materialize, recount, rewritten, row_key, text_pieces, utf8
 
 WINDOW = 10
-BLOCK_WORDS = 1_000_000
-SHARD_BYTES = 1 << 20
+BLOCK_WORDS = 500_000
+SHARD_BYTES = 1 << 18
 SAMPLE = 8
 TERMINATOR, SEPARATOR, FIRST_WORD = 0, 1, 2
 
@@ -101,7 +101,7 @@ class FMIndex:
             live = np.flatnonzero(begin < end)
             if not len(live):
                 break
-            c = phrases[live, k]
+            c = phrases[live, k].astype(np.int64)
             begin[live], end[live] = self.before[c] + self.tree.rank(c, begin[live]), self.before[c] + self.tree.rank(c, end[live])
         return begin, end
 
@@ -117,27 +117,34 @@ class FMIndex:
 
 
 class Phrases:
-    """The phrases of a block of items, as symbols of the block's vocabulary."""
+    """The phrases of a block of items, as symbols of the block's vocabulary; all in arrays, some 60 bytes a phrase."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[int]] = {}
         self.ids = sorted({i for i, _ in items})
         number = {i: n for n, i in enumerate(self.ids)}
+        found: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item, text in items:
-            words = [self.vocabulary.setdefault(w, len(self.vocabulary) + FIRST_WORD) for w in text.translate(LETTERS).split()]
-            for k in range(max(1, len(words) - window + 1) if words else 0):
-                found.setdefault(tuple(words[k : k + window]), set()).add(number[item])
-        by_length: dict[int, list] = {}
-        for p in found:
-            by_length.setdefault(len(p), []).append(p)
-        self.by_length = [(np.array(ps, np.int64), [sorted(found[p]) for p in ps]) for _, ps in sorted(by_length.items())]
-        self.shortest = min(by_length, default=0)
+            words = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + FIRST_WORD) for w in text.translate(LETTERS).split()], np.int32)
+            if len(words):
+                n = min(window, len(words))
+                found.setdefault(n, []).append((np.lib.stride_tricks.sliding_window_view(words, n), number[item]))
+        self.by_length = [self._distinct(x) for _, x in sorted(found.items())]
+        self.shortest = min(found, default=0)
         self.size = len(self.vocabulary) + FIRST_WORD
         words = list(self.vocabulary)
         hashes = Batch(words, IS_LETTER).hash if words else np.zeros(0, np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.symbols = hashes[order], np.fromiter(self.vocabulary.values(), np.int64, len(words))[order]
+        del self.vocabulary
+
+    @staticmethod
+    def _distinct(parts: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct phrases as rows, where each one's owners begin, the owners' numbers)."""
+        rows, which = np.unique(np.concatenate([w for w, _ in parts]), axis=0, return_inverse=True)
+        owner = np.repeat([n for _, n in parts], [len(w) for w, _ in parts])
+        pairs = np.unique(np.stack([which.ravel(), owner], 1), axis=0)
+        return rows, np.searchsorted(pairs[:, 0], np.arange(len(rows) + 1)), pairs[:, 1].astype(np.int32)
 
 
 def search_shard(texts: list[bytes], phrases: Phrases):
@@ -164,7 +171,7 @@ def search_shard(texts: list[bytes], phrases: Phrases):
     index = FMIndex(symbols, phrases.size)
     cover = np.zeros(len(b.hash) + 1, np.int64)
     items: dict[int, set[int]] = {}
-    for ps, owners in phrases.by_length:
+    for ps, owned, owners in phrases.by_length:
         begin, end = index.search(ps)
         count = np.maximum(end - begin, 0)
         which = np.repeat(np.arange(len(ps)), count)
@@ -173,7 +180,7 @@ def search_shard(texts: list[bytes], phrases: Phrases):
         np.add.at(cover, first, 1)
         np.subtract.at(cover, first + ps.shape[1], 1)
         for d, p in set(zip(b.doc[first].tolist(), which.tolist(), strict=True)):
-            items.setdefault(d, set()).update(owners[p])
+            items.setdefault(d, set()).update(owners[owned[p] : owned[p + 1]].tolist())
     hit = np.cumsum(cover[:-1]) > 0
     found = {}
     for d, who in items.items():
@@ -198,7 +205,7 @@ def _search(phrases: Phrases):
                     [s.column(0), s.column(1), pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], ["key", "doc_id", "n_words", "spans", "items"]
                 )
 
-    return run
+    return lean(run)
 
 
 def distinct_items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
@@ -274,25 +281,23 @@ def cut(text: str, spans) -> str:
 
 
 def _clean(phrases: Phrases):
+    def change(texts, *_):
+        for d, (spans, _) in search_shard([t.translate(LETTERS) for t in utf8(texts)], phrases)[1].items():
+            texts[d] = cut(texts[d], spans.tolist())
+        return texts
+
     def run(batches):
         for b in batches:
-            kept = []
-            for _, _, texts in text_pieces(b, b.schema.names.index("text"), SHARD_BYTES):
-                for d, (spans, _) in search_shard([t.translate(LETTERS) for t in utf8(texts)], phrases)[1].items():
-                    texts[d] = cut(texts[d], spans.tolist())
-                kept += texts
-            yield pa.RecordBatch.from_arrays([pa.array(kept, c.type) if n == "text" else c for n, c in zip(b.schema.names, b.columns, strict=True)], schema=b.schema)
+            yield from rewritten(b, "text", SHARD_BYTES, change)
 
-    return run
+    return lean(run)
 
 
 def _cut(batches):
     for b in batches:
-        names = b.schema.names
-        texts, spans = b.column(names.index("text")).to_pylist(), b.column(len(names) - 1).to_pylist()
-        kept = [cut(t, [(x["start"], x["end"]) for x in s]) if s else t for t, s in zip(texts, spans, strict=True)]
-        cols = [pa.array(kept, c.type) if n == "text" else c for n, c in zip(names, b.columns, strict=True)][:-1]
-        yield pa.RecordBatch.from_arrays(cols, names[:-1])
+        spans, rest = b.column(b.num_columns - 1), pa.RecordBatch.from_arrays(b.columns[:-1], b.schema.names[:-1])
+        change = lambda texts, x, y, of=spans: [cut(t, [(p["start"], p["end"]) for p in s]) if s else t for t, s in zip(texts, of.slice(x, y - x).to_pylist(), strict=True)]
+        yield from rewritten(rest, "text", SHARD_BYTES, change)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window=WINDOW, block_words=BLOCK_WORDS) -> DataFrame:
@@ -302,11 +307,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window=WINDOW, block_w
     bounded_batches(docs.sparkSession)
     if n_blocks(benchmark, "item_id", "text", block_words) == 1:
         (items,) = blocks(benchmark, "item_id", "text", block_words)
-        out = docs.mapInArrow(_clean(Phrases(items, window)), docs.schema)
-    else:
-        found = find(docs, benchmark, window=window, block_words=block_words).filter("size(spans) > 0")
-        found = found.select(F.col("key").alias("_f_key"), F.col("doc_id").alias("_f_id"), F.col("spans").alias("_spans")).dropDuplicates(["_f_key", "_f_id"])
-        found = materialize(found, "decontaminate-spans")
-        d = docs.withColumn("_row_key", row_key()).join(found, (F.col("_row_key") == F.col("_f_key")) & F.col("doc_id").eqNullSafe(F.col("_f_id")), "left")
-        out = d.select(*docs.columns, "_spans").mapInArrow(_cut, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+        return recount(docs.mapInArrow(_clean(Phrases(items, window)), docs.schema), docs)
+    row, key, id_, spans = fresh(docs, "row_key", "found_key", "found_id", "found_spans")
+    found = find(docs, benchmark, window=window, block_words=block_words).filter("size(spans) > 0")
+    found = found.select(F.col("key").alias(key), F.col("doc_id").alias(id_), F.col("spans").alias(spans)).dropDuplicates([key, id_])
+    found = materialize(found, "decontaminate-spans")
+    d = docs.withColumn(row, row_key()).join(found, (F.col(row) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(id_)), "left")
+    return recount(d.select(*(F.col(f"`{c}`") for c in docs.columns), spans).mapInArrow(lean(_cut), docs.schema), docs)

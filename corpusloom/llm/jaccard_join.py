@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_LETTER, LETTERS, Batch, bounded_batches, materialize, mix, prefix_hash, row_key, shingles, small, span_hash, text_pieces, utf8
+from .common import IS_LETTER, LETTERS, Batch, bounded_batches, fresh, lean, materialize, mix, row_key, sequence_hash, shingles, small, text_pieces, utf8
 from .graph import components
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 ROWS, BANDS, STEP = 4, 24, 16
 HASHES = ROWS * BANDS
 BLOCK = 256
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 PAIRS = 1 << 16
 _U = np.uint64
 _rng = np.random.default_rng(20240607)
@@ -63,13 +63,11 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     h, at = shingles(b, SHINGLE)
     first = np.searchsorted(b.doc[at], np.arange(len(texts) + 1))
     out = []
-    words = None
     for i, n in enumerate(b.n_words):
         if n >= SHINGLE:
             out.append(np.unique(h[first[i] : first[i + 1]]))
         elif n:
-            words = prefix_hash(b.hash) if words is None else words
-            out.append(mix(span_hash(words, b.first[i : i + 1], b.first[i + 1 : i + 2])))
+            out.append(sequence_hash(b.hash[b.first[i] : b.first[i + 1]]))
         else:
             out.append(np.zeros(0, _U))
     return out
@@ -250,7 +248,7 @@ def classes(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     d = docs.select(row_key(doc_id, text).alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
     bounded_batches(d.sparkSession)
-    signed = materialize(d.mapInArrow(_sign, f"key long, doc_id {kind}, node binary, sign binary"), "join-signs")
+    signed = materialize(d.mapInArrow(lean(_sign), f"key long, doc_id {kind}, node binary, sign binary"), "join-signs")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("rep")
     by_node = signed.filter("node is not null").groupBy("node").agg(rep, F.count("*").alias("copies"), F.max("sign").alias("sign"))
     nodes = materialize(by_node, "join-nodes")
@@ -260,17 +258,17 @@ def classes(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     shared = materialize(banded.join(counts, "bucket"), "join-buckets")
     signs = nodes.select("node", "sign")
     groups_ = dealt(shared.join(signs, "node"), "bucket", "members")
-    forest = stream(groups_, ["bucket", "lo", "hi"]).select("bucket", "lo", "hi", "block", "band", "node", "sign").mapInArrow(_candidate_forest, "a binary, b binary")
+    forest = stream(groups_, ["bucket", "lo", "hi"]).select("bucket", "lo", "hi", "block", "band", "node", "sign").mapInArrow(lean(_candidate_forest), "a binary, b binary")
     clusters = components(forest).withColumnRenamed("label", "cluster_node")
     sizes = clusters.groupBy("cluster_node").agg(F.count("*").alias("members"))
     clusters = clusters.join(sizes, "cluster_node").join(nodes.select("node", "copies", "rep"), "node")
     clusters = materialize(clusters.select("node", F.xxhash64("cluster_node").alias("cluster"), "members", "copies", F.col("rep.doc_id").alias("rep_id"), F.col("rep.key").alias("rep_key")), "join-clusters")
-    wanted, _ = small(clusters.select(F.col("rep_id").alias("w_id"), F.col("rep_key").alias("w_key")), 32)
+    wanted, _ = small(clusters.select(F.col("rep_id").alias("w_id"), F.col("rep_key").alias("w_key")))
     texts = d.join(wanted, (F.col("key") == F.col("w_key")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi").select("text")
-    sets = texts.mapInArrow(_set_rows, "node binary, sign binary, shingles binary")
+    sets = texts.mapInArrow(lean(_set_rows), "node binary, sign binary, shingles binary")
     members = sets.join(clusters.select("node", "cluster", "members", "copies"), "node").dropDuplicates(["node"])
     checked = stream(dealt(members, "cluster", "members"), ["cluster", "lo", "hi"])
-    checked = checked.select("cluster", "lo", "hi", "block", "node", "sign", "shingles", "copies").mapInArrow(_verify, "node binary, links long, root binary")
+    checked = checked.select("cluster", "lo", "hi", "block", "node", "sign", "shingles", "copies").mapInArrow(lean(_verify), "node binary, links long, root binary")
     linked = materialize(checked, "join-links")
     total = linked.groupBy(F.col("node").alias("l_node")).agg(F.sum("links").alias("links"))
     label = components(linked.select("node", "root"), "node", "root").withColumnRenamed("node", "c_node")
@@ -278,7 +276,7 @@ def classes(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     of_label = of_node.groupBy(F.col("label").alias("t_label")).agg(F.min("rep").alias("top"))
     joined = of_node.join(of_label, F.col("label") == F.col("t_label")).select("node", F.col("top").alias("rep"), (F.col("links") + F.col("copies") - 1).alias("n_links"))
     alone = nodes.filter("copies > 1").join(label, F.col("node") == F.col("c_node"), "left_anti").select("node", "rep", (F.col("copies") - 1).alias("n_links"))
-    special, _ = small(materialize(joined.unionByName(alone).withColumnRenamed("node", "s_node"), "join-classes"), 96)
+    special, _ = small(materialize(joined.unionByName(alone).withColumnRenamed("node", "s_node"), "join-classes"))
     out = signed.select("key", "doc_id", "node").join(special, F.col("node") == F.col("s_node"), "left")
     has = F.col("s_node").isNotNull()
     return out.select(
@@ -290,14 +288,16 @@ def classes(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one with the least doc_id, with all columns of docs; of equal rows any one."""
+    """One document of each class, the one with the least doc_id, with all columns of docs; of equal rows any one. Documents
+    without words are no copies of each other and all stay."""
     c = materialize(classes(docs), "dedup-classes")
+    row, gone_key, gone_id, twice_key, twice_id, n = fresh(docs, "row_key", "gone_key", "gone_id", "twice_key", "twice_id", "n_rows")
     keep = (F.col("key") == F.col("class_key")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
-    gone, _ = small(materialize(c.filter(~keep).select(F.col("key").alias("_g_key"), F.col("doc_id").alias("_g_id")).distinct(), "dedup-gone"), 32)
-    twice = c.filter(keep & F.col("node").isNotNull()).groupBy(F.col("key").alias("_t_key"), F.col("doc_id").alias("_t_id")).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    twice, _ = small(materialize(twice, "dedup-twice"), 32)
-    d = docs.withColumn("_row_key", row_key())
-    d = d.join(gone, (F.col("_row_key") == F.col("_g_key")) & F.col("doc_id").eqNullSafe(F.col("_g_id")), "left_anti")
-    same = (F.col("_row_key") == F.col("_t_key")) & F.col("doc_id").eqNullSafe(F.col("_t_id"))
+    gone, _ = small(materialize(c.filter(~keep).select(F.col("key").alias(gone_key), F.col("doc_id").alias(gone_id)).distinct(), "dedup-gone"))
+    twice = c.filter(keep & F.col("node").isNotNull()).groupBy(F.col("key").alias(twice_key), F.col("doc_id").alias(twice_id)).agg(F.count("*").alias(n))
+    twice, _ = small(materialize(twice.filter(F.col(n) > 1).drop(n), "dedup-twice"))
+    d = docs.withColumn(row, row_key())
+    d = d.join(gone, (F.col(row) == F.col(gone_key)) & F.col("doc_id").eqNullSafe(F.col(gone_id)), "left_anti")
+    same = (F.col(row) == F.col(twice_key)) & F.col("doc_id").eqNullSafe(F.col(twice_id))
     once = d.join(twice, same, "left_anti")
-    return once.unionByName(d.join(twice, same, "left_semi").dropDuplicates(["_row_key", "doc_id"])).select(*docs.columns)
+    return once.unionByName(d.join(twice, same, "left_semi").dropDuplicates([row, "doc_id"])).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -1,19 +1,23 @@
 """Operator 5: licence scans, with DataFrame operations only.
 
-Each line of a file that can be a licence header is compared with the templates by the cosine of sparse TF-IDF vectors; the
-best template from THRESHOLD on is the file's own licence. A file is a licence file if its name says so or, where the caller
-marks it, otherwise; a directory has the licence of its licence files (the highest cosine, then the first path). A file
-without a licence of its own inherits that of the nearest directory above it.
+The units of a file are its lines, its blocks (runs of lines between lines without letters or digits, so the marks of
+comments don't matter) and the whole file. Each unit is compared with every template (statements, header blocks, whole licence
+files) by the cosine of sparse TF-IDF vectors; the best template from THRESHOLD on is the file's own licence.
 
-IDF comes from the templates: a term of no template weighs ln(1 + templates) + 1. A line reaches the threshold only if it
-has a term from some template's `marks`, the terms without which the template's cosine with any line stays below THRESHOLD;
-lines without a mark are left out before they are split into terms, so the prefilter loses nothing. Of the rest, a line is
-shuffled only if its cosine can reach THRESHOLD when each of its other words counts as unlike all others, which makes its
-norm the least (n equal words weigh n^2, n different ones n); the template terms in that bound are counted within the row.
+A directory has the licence of its licence files (those so named, or marked by the caller; the highest cosine, then the
+first path). Without such a file it has the licence that its licensed files share, if they are AGREE or more and name no
+other. A file without a licence of its own inherits that of the nearest directory above it that has one.
+
+IDF comes from the templates: a term of no template weighs ln(1 + templates) + 1, and one of COMMON, which any text has, next
+to nothing. A unit reaches the threshold only if it has a term from some template's `marks`, the terms without which the
+template's cosine with any unit stays below THRESHOLD; the rest is left out before it is split into terms, so the prefilter
+loses nothing. Of what is left, a unit is shuffled only if its cosine can reach THRESHOLD when each of its other words counts
+as unlike all others, which makes its norm the least (n equal words weigh n^2, n different ones n); the template terms in that
+bound are counted within the row.
 
 Defined results: null and empty texts have no licence of their own and inherit; a null path is a file named "" at the top;
-equal rows give equal rows; a line of any length is one line; ties between templates go to the first name; empty tables give
-empty results; other columns are ignored.
+equal rows give equal rows, and rows with the same key and other texts results of their own; a line of any length is one line;
+ties between templates go to the first name; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,45 +27,40 @@ import re
 from collections import Counter
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small
-
-#: Header statements by SPDX identifier.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "CC-BY-4.0": "This work is licensed under the Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "Proprietary": "All rights reserved.",
-}
-THRESHOLD = 0.7
-#: Words of any English text; they are marks only where a template can't do without.
-COMMON = frozenset("a all and are as at be by for from in is it not of on or that the this to use was with without".split())
+from .licence_texts import templates as known_templates
+
+THRESHOLD, AGREE, COMMON_IDF = 0.7, 2, 0.2
+#: Words of any English text.
+COMMON = frozenset(
+    """a above advised agreed all also an and any appear applicable are as associated at basis be but by can caused charge claim connection deal do either
+    even event except extent following for form found from has have however if in into is it its kind later like list loss made may met must name names no nor
+    not obtain of on one only option or other out particular person persons possible prior purpose see shall so style such terms than that the their these this
+    to under unless use used was way we what whether which who whom will with without work you your""".split()
+)
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
 
 
 class Model:
-    """Term weights of the templates, and their marks."""
+    """Term weights of the templates, and their marks. names: the licence of each template, in order."""
 
-    def __init__(self, templates: dict[str, str], threshold: float):
-        terms = {k: Counter(re.findall(r"[a-z0-9]+", v.lower())) for k, v in templates.items()}
-        df = Counter(t for c in terms.values() for t in c)
-        n = len(templates)
+    def __init__(self, templates: dict[str, list[str]], threshold: float):
+        terms = [(k, Counter(re.findall(r"[a-z0-9]+", v.lower()))) for k, vs in sorted(templates.items()) for v in vs]
+        df = Counter(t for _, c in terms for t in c)
+        n = len(terms)
         self.unseen = math.log(1 + n) + 1
-        self.idf = {t: math.log((1 + n) / (1 + k)) + 1 for t, k in df.items()}
-        self.rows, marks, self.together = [], set(), []
-        for name, c in sorted(terms.items()):
+        self.idf = {t: COMMON_IDF if t in COMMON else math.log((1 + n) / (1 + k)) + 1 for t, k in df.items()} | {t: COMMON_IDF for t in COMMON}
+        self.names, self.weights, marks, self.together = [], [], set(), []
+        for name, c in terms:
             norm = math.sqrt(sum((k * self.idf[t]) ** 2 for t, k in c.items()))
             weights = {t: k * self.idf[t] / norm for t, k in c.items()}
-            self.rows += [(name, t, w, self.idf[t]) for t, w in sorted(weights.items())]
+            self.names.append(name)
+            self.weights.append(weights)
             # by Cauchy-Schwarz a line with only the other terms has at most the cosine sqrt(rest)
-            rest, order = 1.0, sorted(weights.items(), key=lambda x: (x[0] in COMMON, df[x[0]], -x[1], x[0]))
+            rest, order = 1.0, sorted(weights.items(), key=lambda x: (x[0] in COMMON, len(x[0]) < 4, df[x[0]], -x[1], x[0]))
             for i, (t, w) in enumerate(order):
                 if rest < threshold**2:
                     break
@@ -74,77 +73,105 @@ class Model:
         self.marks = sorted(marks)
 
 
-def scan(files: DataFrame, templates=None, threshold=THRESHOLD, licence_file=None) -> DataFrame:
-    """One row per file: key, path, own_licence, own_score, licence, inherited_from. files: key, path, text.
+def _units(text):
+    """The lines, blocks and whole of a text, as (kind, n, words); n is 0 for the one that opens it."""
+    unit = lambda kind: lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("n"), x.alias("words"))
+    none = F.array().cast("array<struct<kind:int,n:int,words:string>>")
+    lines, blocks = F.split(text, "\n"), F.split(text, r"\n(?:[^A-Za-z0-9\n]*+\n)++")
+    return F.concat(
+        F.transform(lines, unit(0)),
+        F.when((F.size(lines) > F.size(blocks)) & (F.size(blocks) > 1), F.transform(blocks, unit(1))).otherwise(none),
+        F.when(F.size(lines) > 1, F.transform(F.array(text), unit(2))).otherwise(none),
+    )
 
-    licence_file: a condition on path, name and first_line (the number of the licence's line is 0)."""
-    model = Model(templates or TEMPLATES, threshold)
-    spark = files.sparkSession
-    directory = F.coalesce(F.regexp_extract(F.col("path"), r"^(.*)/[^/]*$", 1), F.lit(""))
-    f = files.select("key", F.coalesce("path", F.lit("")).alias("path"), "text")
+
+def own_licences(f: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """row, key, path, own_licence, own_score, first: the files (row, key, path, text) that have a licence of their own."""
+    spark = f.sparkSession
     marked = r"(?i)(?<![a-z0-9])(?:" + "|".join(model.marks) + r")(?![a-z0-9])"
     word = lambda c, t: c.rlike(rf"(?i)(?<![a-z0-9]){t}(?![a-z0-9])")
 
     def can_fit(c):
-        out = c.rlike(marked)
+        out = c.rlike(marked) if model.marks else F.lit(False)
         for needed, terms in model.together:
             mass = reduce(lambda a, b: a + b, [F.when(word(c, t), w).otherwise(0.0) for t, w in terms])
             out = out | (reduce(lambda a, b: a & b, [word(c, t) for t in needed]) & (mass >= threshold**2 - 1e-9))
         return out
 
-    known = sorted(model.idf)
-    array = lambda xs: F.array(*map(F.lit, xs))
-    idf_at = array([model.idf[t] for t in known])
-    weights = {name: {t: w for n, t, w, _ in model.rows if n == name} for name in templates or TEMPLATES}
-    weights_at = [array([w.get(t, 0.0) for t in known]) for _, w in sorted(weights.items())]
+    terms_known = sorted(model.idf)
+    n = len(terms_known)
+    numbers = lambda xs: F.split(F.lit(",".join(map(repr, xs))), ",").cast("array<double>")  # noqa: E731  folds to one literal
+    idf_at = numbers([model.idf[t] for t in terms_known])
+    weight_at = numbers([w.get(t, 0.0) for w in model.weights for t in terms_known])
+    known = F.split(F.lit(",".join(terms_known)), ",")
     let = lambda value, then: F.exists(F.array(value), then)  # noqa: E731  evaluates value once a row
 
-    def may_reach(terms):
-        def reaches(every, found, counts):
-            x = lambda s: s["n"] * F.get(idf_at, s["at"])
-            norm = F.aggregate(counts, F.lit(0.0), lambda a, s: a + x(s) * x(s)) + model.unseen**2 * (F.size(every) - F.size(found))
-            dot = lambda w: F.aggregate(counts, F.lit(0.0), lambda a, s: a + x(s) * F.get(w, s["at"]))
-            dots = [dot(w) for w in weights_at]
-            best = F.greatest(*dots) if len(dots) > 1 else dots[0]
-            return best * best >= (threshold - 1e-6) ** 2 * norm
-
-        count = lambda found: F.transform(F.array_distinct(found), lambda t: F.struct((F.array_position(array(known), t) - 1).cast("int").alias("at"), F.size(F.filter(found, lambda o: o == t)).alias("n")))
-        return let(terms, lambda every: let(F.filter(every, lambda t: t.isin(known)), lambda found: let(count(found), lambda counts: reaches(every, found, counts))))
-
-    terms = F.regexp_extract_all(F.translate("words", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("[a-z0-9]+"), F.lit(0))
-    lines = f.filter(can_fit(F.col("text"))).select("key", "path", F.posexplode(F.split("text", "\n")).alias("line", "words")).filter(can_fit(F.col("words")) & may_reach(terms))
-    lines = lines.select("key", "path", "line", F.explode(terms).alias("term"))
-    counted = lines.groupBy("key", "path", "line", "term").agg(F.count("*").alias("n"))
-    idf = F.broadcast(spark.createDataFrame(sorted(model.idf.items()), "i_term string, idf double"))
-    weighed = counted.join(idf, F.col("term") == F.col("i_term"), "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(model.unseen)))
-    by_term: dict[str, list] = {}
-    for template, term, weight, _ in model.rows:
-        by_term.setdefault(term, []).append((template, weight))
-    vectors = spark.createDataFrame(sorted(by_term.items()), "t_term string, ws array<struct<template:string,w:double>>")
-    by_line = weighed.join(F.broadcast(vectors), F.col("term") == F.col("t_term"), "left").groupBy("key", "path", "line")
-    names = sorted(templates or TEMPLATES)
-    dot = lambda name: F.sum(F.col("x") * F.aggregate(F.filter(F.coalesce("ws", F.array().cast("array<struct<template:string,w:double>>")), lambda s: s["template"] == name), F.lit(0.0), lambda a, s: a + s["w"]))
-    scored = by_line.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), *(dot(n).alias(f"d{i}") for i, n in enumerate(names)))
-    pairs = F.array(*(F.struct(F.round(F.col(f"d{i}") / F.col("norm"), 9).alias("score"), F.lit(-i).alias("rank"), F.lit(n).alias("licence")) for i, n in enumerate(names)))
-    best = scored.select("key", "path", "line", F.array_max(pairs).alias("b")).filter(F.col("b.score") >= threshold)
-    best = best.groupBy("key", "path").agg(F.max(F.struct("b.score", (-F.col("line")).alias("up"), "b.rank", "b.licence")).alias("b"), F.min("line").alias("first"))
-    own = materialize(best.select("key", "path", F.col("b.licence").alias("own_licence"), F.col("b.score").alias("own_score"), "first"), "licence-own")
+    def reaches(every, found, counts):
+        x = lambda s: s["n"] * F.get(idf_at, s["at"])
+        norm = F.aggregate(counts, F.lit(0.0), lambda a, s: a + x(s) * x(s)) + model.unseen**2 * (F.size(every) - F.size(found))
+        dot = lambda k: F.aggregate(counts, F.lit(0.0), lambda a, s: a + x(s) * F.get(weight_at, k * n + s["at"]))
+        best = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(len(model.weights) - 1)), dot))
+        return best * best >= (threshold - 1e-6) ** 2 * norm
+
+    one = lambda found: lambda t: F.struct((F.array_position(known, t) - 1).cast("int").alias("at"), F.size(F.filter(found, lambda o: o == t)).alias("n"))
+    may_reach = lambda terms: let(terms, lambda every: let(F.filter(every, lambda t: t.isin(terms_known)), lambda found: let(F.transform(F.array_distinct(found), one(found)), lambda counts: reaches(every, found, counts))))
+    terms = F.regexp_extract_all(F.translate("unit.words", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("[a-z0-9]+"), F.lit(0))
+    held = f.filter(can_fit(F.col("text"))).dropDuplicates(["row", "key", "path"])
+    units = held.select("row", "key", "path", F.explode(_units(F.col("text"))).alias("unit"))
+    units = units.filter(can_fit(F.col("unit.words")) & may_reach(terms)).select("row", "key", "path", "unit.kind", "unit.n", F.explode(terms).alias("term"))
+    unit = ["row", "key", "path", "kind", "n"]
+    counted = units.groupBy(*unit, "term").agg(F.count("*").alias("times"))
+    by_term: dict[str, list] = {t: [] for t in terms_known}
+    for k, weights in enumerate(model.weights):
+        for t, w in weights.items():
+            by_term[t].append((k, w))
+    rows = [(t, model.idf[t], ws) for t, ws in sorted(by_term.items())]
+    vectors = F.broadcast(spark.createDataFrame(rows, "t_term string, idf double, ws array<struct<k:int,w:double>>"))
+    x = F.col("times") * F.coalesce("idf", F.lit(model.unseen))
+    weighed = counted.join(vectors, F.col("term") == F.col("t_term"), "left").withColumn("x", x)
+    norms = weighed.groupBy(*unit).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = weighed.filter("t_term is not null").select(*unit, "x", F.explode("ws").alias("s")).groupBy(*unit, F.col("s.k").alias("k")).agg(F.sum(F.col("x") * F.col("s.w")).alias("dot"))
+    norms = norms.withColumnsRenamed({c: f"n_{c}" for c in unit})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"n_{c}")) for c in unit])
+    name = F.element_at(F.split(F.lit(",".join(model.names)), ","), F.col("k") + 1)
+    scored = dots.join(norms, same).select(*unit, "k", name.alias("licence"), F.round(F.col("dot") / F.col("norm"), 9).alias("score")).filter(F.col("score") >= threshold)
+    best = scored.groupBy("row", "key", "path").agg(F.min(F.struct((-F.col("score")).alias("down"), "k", "licence")).alias("b"), F.min("n").alias("first"))
+    return best.select("row", "key", "path", F.col("b.licence").alias("own_licence"), (-F.col("b.down")).alias("own_score"), "first")
+
+
+def directory_licences(own: DataFrame, directory, is_file) -> DataFrame:
+    """dir, dir_licence: what licence files say, or else what licensed files agree on."""
+    placed = own.select(directory.alias("dir"), is_file.alias("is_file"), "path", "own_licence", "own_score")
+    said = F.min(F.when(F.col("is_file"), F.struct((-F.col("own_score")).alias("down"), "path", "own_licence")))
+    agreed = F.when((F.count("*") >= AGREE) & (F.min("own_licence") == F.max("own_licence")), F.min("own_licence"))
+    by_dir = placed.groupBy("dir").agg(said.alias("said"), agreed.alias("agreed"))
+    return by_dir.select("dir", F.coalesce("said.own_licence", "agreed").alias("dir_licence")).filter("dir_licence is not null")
+
+
+def scan(files: DataFrame, templates=None, threshold=THRESHOLD, licence_file=None) -> DataFrame:
+    """One row per file: key, path, own_licence, own_score, licence, inherited_from. files: key, path, text.
+
+    licence_file: a condition on path and first (the number of the first unit with a licence; 0 opens the file)."""
+    model = Model(templates or known_templates(), threshold)
+    directory = F.coalesce(F.regexp_extract(F.col("path"), r"^(.*)/[^/]*$", 1), F.lit(""))
+    f = files.select(F.xxhash64("key", "path", "text").alias("row"), "key", F.coalesce("path", F.lit("")).alias("path"), "text")
+    own = materialize(own_licences(f, model, threshold), "licence-own")
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     is_file = name.rlike(LICENCE_FILE) if licence_file is None else licence_file
-    by_dir = own.filter(is_file).withColumn("dir", directory).withColumn("_o", F.row_number().over(Window.partitionBy("dir").orderBy(F.desc("own_score"), "path", "own_licence"))).filter("_o = 1")
+    declared = directory_licences(own, directory, is_file).withColumnRenamed("dir", "ancestor")
     dirs = materialize(f.select(directory.alias("dir")).distinct(), "licence-dirs")
     parts = F.split("dir", "/")
     above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("ancestor")).distinct()
-    declared = by_dir.select(F.col("dir").alias("ancestor"), F.col("own_licence").alias("dir_licence"))
     nearest = above.join(declared, "ancestor").groupBy("dir").agg(F.max(F.struct(F.length("ancestor").alias("n"), "ancestor", "dir_licence")).alias("a"))
-    near, _ = small(materialize(nearest.select(F.col("dir").alias("n_dir"), "a.ancestor", "a.dir_licence"), "licence-near"), 128)
-    o, _ = small(own.select(F.col("key").alias("o_key"), F.col("path").alias("o_path"), "own_licence", "own_score").distinct(), 128)
-    out = f.select("key", "path", directory.alias("dir")).join(o, F.col("key").eqNullSafe(F.col("o_key")) & (F.col("path") == F.col("o_path")), "left").join(near, F.col("dir") == F.col("n_dir"), "left")
+    near, _ = small(materialize(nearest.select(F.col("dir").alias("n_dir"), "a.ancestor", "a.dir_licence"), "licence-near"))
+    o, _ = small(own.select(F.col("row").alias("o_row"), F.col("key").alias("o_key"), F.col("path").alias("o_path"), "own_licence", "own_score"))
+    same = (F.col("row") == F.col("o_row")) & F.col("key").eqNullSafe(F.col("o_key")) & (F.col("path") == F.col("o_path"))
+    out = f.select("row", "key", "path", directory.alias("dir")).join(o, same, "left").join(near, F.col("dir") == F.col("n_dir"), "left")
     return out.select("key", "path", "own_licence", "own_score", F.coalesce("own_licence", "dir_licence").alias("licence"), F.when(F.col("own_licence").isNull(), F.col("ancestor")).alias("inherited_from"))
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
-    """Documents as files <source>/<lang>/<doc_id>; one that opens with its licence (first line) speaks for its directory."""
+    """Documents as files <source>/<lang>/<doc_id>; one that opens with its licence speaks for its directory."""
     path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     files = docs.select(F.col("doc_id").alias("key"), path.alias("path"), "text")
     return scan(files, licence_file=F.col("first") == 0)

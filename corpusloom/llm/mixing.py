@@ -6,7 +6,8 @@ source's threshold: nothing is sorted by document.
 
 Defined results: a null text has size 0; a null source is a source of its own, ordered last; a null doc_id hashes as the
 empty string; rows with equal doc_id and source share one hash and are taken or left together; an empty table gives an
-empty result. Other columns of the input are ignored.
+empty result. A document of any length counts whole. Other columns
+of the input are ignored by mix().
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import fresh, materialize, small
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 #: The hash has 60 bits; each level of the histogram splits a bucket by the next LEVEL_BITS.
-HASH_BITS, LEVEL_BITS = 60, 12
+HASH_BITS, LEVEL_BITS = 60, 15
 
 
 def word_count(text):
@@ -68,9 +69,11 @@ def thresholds(docs: DataFrame, doc_id="doc_id", source="source", text="text", w
     )
     plan = plan.withColumn("_budget", F.col("target") - F.col("_whole") * F.col("source_size")).withColumn("_low", F.lit(0).cast("long"))
     plan = materialize(plan, "mix-plan")
+    _, fits = small(plan)  # it keeps its rows and their size
     for shift in range(HASH_BITS - LEVEL_BITS, -1, -LEVEL_BITS):
-        plan = materialize(_refine(sized, plan, shift), "mix-plan")
-    return sized, plan.withColumnRenamed("_source", "_plan_source")
+        plan = materialize(_refine(sized, F.broadcast(plan) if fits else plan, shift), "mix-plan")
+    plan = plan.withColumnRenamed("_source", "_plan_source")
+    return sized, F.broadcast(plan) if fits else plan
 
 
 def mix(docs: DataFrame, doc_id="doc_id", source="source", text="text", weights=WEIGHTS) -> DataFrame:
@@ -79,17 +82,23 @@ def mix(docs: DataFrame, doc_id="doc_id", source="source", text="text", weights=
     A source whose target is f times its size gives floor(f) copies of every document and one more of those with a hash
     below its threshold; the threshold is the hash at which the words taken come nearest to the target."""
     sized, plan = thresholds(docs, doc_id, source, text, weights)
-    out = sized.join(small(plan)[0], F.col("_source").eqNullSafe(F.col("_plan_source"))).withColumn("copies", _copies())
+    out = sized.join(plan, F.col("_source").eqNullSafe(F.col("_plan_source"))).withColumn("copies", _copies())
     return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("copies")).cast("long").alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, with all columns of docs, and size, source_size, target, taken, copies; no text is shuffled
-    unless there are more sources than a broadcast may hold."""
+    """The documents of the mix, with all columns of docs, and size, source_size, target, taken, copies, which replace columns
+    of the same names; no text is shuffled unless there are more sources than a broadcast may hold."""
     _, plan = thresholds(docs)
-    out = docs.withColumn("_h", doc_hash(F.col("doc_id"))).join(small(plan)[0], F.col("source").eqNullSafe(F.col("_plan_source"))).withColumn("copies", _copies())
-    out = out.filter("copies > 0").withColumn("size", word_count(F.col("text")))
-    return out.select(*docs.columns, *(c for c in ("size", "source_size", "target") if c not in docs.columns), (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")
+    new = ("size", "source_size", "target", "taken", "copies")
+    kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in new))
+    own = fresh(kept, "mix_hash", *(f"mix_{c}" for c in plan.columns))
+    hash_, at = own[0], dict(zip(plan.columns, own[1:], strict=True))
+    out = kept.withColumn(hash_, doc_hash(F.col("doc_id"))).join(plan.withColumnsRenamed(at), F.col("source").eqNullSafe(F.col(at["_plan_source"])))
+    copies = F.col(at["_whole"]) + F.when(F.col(hash_) < F.col(at["_low"]), 1).otherwise(0)
+    size = word_count(F.col("text"))
+    values = (size, F.col(at["source_size"]), F.col(at["target"]), (size * copies).cast("long"), copies)
+    return out.filter(copies > 0).select(*(F.col(f"`{c}`") for c in kept.columns), *(v.alias(n) for v, n in zip(values, new, strict=True)))
 
 
 def _copies():
@@ -101,7 +110,7 @@ def _refine(sized: DataFrame, plan: DataFrame, shift: int) -> DataFrame:
 
     Only rows in the source's open bucket, which begins at _low and is 2^(shift + LEVEL_BITS) wide, are summed. At the last
     level the bucket is one hash value, which is taken too if that brings the sum nearer to the target."""
-    p, _ = small(plan.select(F.col("_source").alias("_plan_source"), "_low", "_budget"))
+    p = plan.select(F.col("_source").alias("_plan_source"), "_low", "_budget")
     width = 1 << (shift + LEVEL_BITS)
     inside = sized.join(p, sized["_source"].eqNullSafe(F.col("_plan_source")), "inner").filter((F.col("_h") >= F.col("_low")) & (F.col("_h") < F.col("_low") + F.lit(width)))
     bucket = F.shiftright(F.col("_h") - F.col("_low"), shift)

@@ -10,7 +10,8 @@ least MD5 of the id (the documented bound of the sample), weighed so that the la
 scored. The label, language, source and id are no features.
 
 Defined results: null and empty texts have all features 0 and a score; null labels and labels without a document are
-ignored, repeated ones count repeatedly; without usable labels every score is 0.5; equal texts have equal scores; an empty
+ignored, repeated ones count repeatedly, as do rows
+that share a labelled id (those of the least key first, so reruns agree); without usable labels every score is 0.5; equal texts have equal scores; an empty
 table gives an empty one; other columns are ignored.
 """
 
@@ -21,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, Batch, bounded_batches, materialize, mix, row_key, span_hash, text_pieces, utf8
+from .common import IS_SPACE, Batch, bounded_batches, lean, materialize, mix, row_key, span_hash, text_pieces, utf8
 
 TRAIN_ROWS = 20_000
 BINS, PAIR_BINS, LEAVES, ROUNDS, PAIR_ROUNDS, PAIRS, RATE, LEAST_WEIGHT = 48, 8, 4, 150, 60, 8, 0.15, 20.0
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _U = np.uint64
 _CLASS = {
     "upper": range(65, 91), "digit": range(48, 58), "symbol": b"#*$%&<>", "bar": b"|", "bang": b"!?", "stop": b".,;:", "high": range(128, 256),
@@ -42,12 +43,11 @@ def features(texts: list[bytes]) -> np.ndarray:
     b = Batch(texts, ~IS_SPACE)
     size = np.maximum(np.diff(b.offset) - 1, 1).astype(float)
     words = np.maximum(b.n_words, 1).astype(float)
-    add = lambda flags: np.diff(np.concatenate([np.zeros(1, np.int64), np.cumsum(flags)])[b.offset])
     per_word = lambda flags, doc=b.doc: np.bincount(doc, weights=flags, minlength=n) / words
     table = {k: np.isin(np.arange(256), list(v)) for k, v in _CLASS.items()}
     lengths = (b.end - b.start).astype(float)
-    out = [np.log1p(b.n_words), per_word(lengths), *(add(t[b.buf]) / size for t in table.values())]
-    upper = np.concatenate([np.zeros(1, np.int64), np.cumsum(table["upper"][b.buf])])
+    out = [np.log1p(b.n_words), per_word(lengths), *(b.total(t[b.buf]) / size for t in table.values())]
+    upper = np.concatenate([np.zeros(1, np.int64), np.cumsum(table["upper"][b.buf], dtype=np.int32)])
     out.append(per_word((upper[b.end] - upper[b.start]) * 2 > lengths))
     key = mix(b.hash + mix(b.doc.astype(_U) + _U(1)))
     _, at, count = np.unique(key, return_index=True, return_counts=True)
@@ -72,7 +72,7 @@ def features(texts: list[bytes]) -> np.ndarray:
     _, at = np.unique(h, return_index=True)
     out.append(1 - np.maximum(np.bincount(line_doc[at], minlength=n), 1) / lines)
     letters = table["upper"] | np.isin(np.arange(256), list(range(97, 123))) | table["high"]
-    some = np.concatenate([np.zeros(1, np.int64), np.cumsum(letters[b.buf])])
+    some = np.concatenate([np.zeros(1, np.int64), np.cumsum(letters[b.buf], dtype=np.int32)])
     out.append(per_word(some[b.end] == some[b.start]))
     return np.nan_to_num(np.stack(out, 1)).astype(np.float32)
 
@@ -200,7 +200,7 @@ def train(featured: DataFrame, labels: DataFrame, label="quality", rows=TRAIN_RO
     xs, ys, ws = [], [], []
     for y in (0, 1):
         picked = lab.filter(F.col("y") == y).select("l_id", "y", F.md5(F.col("l_id").cast("string").cast("binary")).alias("_o")).orderBy("_o", "l_id").limit(rows)
-        got = featured.join(F.broadcast(picked), F.col("doc_id") == F.col("l_id")).select("_o", "x").orderBy("_o").limit(rows).collect()
+        got = featured.join(F.broadcast(picked), F.col("doc_id") == F.col("l_id")).select("_o", "key", "x").orderBy("_o", "key").limit(rows).collect()
         if got:
             xs.append(np.array([r.x for r in got], np.float32))
             ys.append(np.full(len(got), y))
@@ -216,7 +216,7 @@ def classify(docs: DataFrame, labels: DataFrame, label="quality", doc_id="doc_id
     d = docs.select(row_key(doc_id, text).alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
     bounded_batches(d.sparkSession)
-    featured = materialize(d.mapInArrow(_featurise, f"key long, doc_id {kind}, x array<float>"), "quality-features")
+    featured = materialize(d.mapInArrow(lean(_featurise), f"key long, doc_id {kind}, x array<float>"), "quality-features")
     model = train(featured, labels, label, rows)
 
     def run(batches):
@@ -225,5 +225,5 @@ def classify(docs: DataFrame, labels: DataFrame, label="quality", doc_id="doc_id
             score = model.score(x) if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], ["doc_id", "score"])
 
-    scored = featured.select("doc_id", "x").mapInArrow(run, f"doc_id {kind}, score double")
+    scored = featured.select("doc_id", "x").mapInArrow(lean(run), f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

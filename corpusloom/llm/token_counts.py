@@ -24,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, utf8
+from .common import bounded_batches, lean, text_pieces, utf8
 
 MEMO = 200_000
+CHUNK = 1 << 20
 
 
 class Automaton:
@@ -100,13 +101,28 @@ class Automaton:
         return len(words), total, unknown
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: visible characters of Latin-1 for themselves, the
+    other bytes, in order, for the characters from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = sorted(set(range(256)) - set(visible))
+    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 def load_vocabulary(path: str) -> list[bytes]:
-    """Tokens as bytes from a rank file (base64 and number a line) or a JSON file with model.vocab (byte-level alphabet or plain)."""
+    """Tokens as bytes from a rank file (base64 and number a line) or a JSON file with model.vocab: in the byte-level alphabet
+    if the file names that step anywhere, else plain. Added special tokens spell no text and are left out."""
     if path.endswith(".tiktoken"):
         with open(path, "rb") as f:
             return [base64.b64decode(x.split()[0]) for x in f if x.strip()]
     with open(path, encoding="utf-8") as f:
-        return [t.encode() for t in json.load(f)["model"]["vocab"]]
+        whole = json.load(f)
+    special = {t["content"] for t in whole.get("added_tokens") or [] if t.get("special")}
+    tokens = [t for t in whole["model"]["vocab"] if t not in special]
+    if "ByteLevel" not in json.dumps([whole.get(k) for k in ("pre_tokenizer", "decoder", "post_processor")]):
+        return [t.encode() for t in tokens]
+    byte = byte_alphabet()
+    return [bytes(byte[c] for c in t) for t in tokens if all(c in byte for c in t)]
 
 
 _AUTOMATA: dict[object, Automaton] = {}
@@ -126,9 +142,11 @@ def count_tokens(docs: DataFrame, vocabulary: str | list[bytes], doc_id="doc_id"
     def run(batches):
         a = _automaton(path, tokens)
         for b in batches:
-            found = [a.count(t) for t in utf8(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i] for x in found], pa.int64()) for i in range(3))], ["doc_id", "n_words", "n_tokens", "n_unknown"])
+            for begin, end, texts in text_pieces(b, 1, CHUNK):
+                found = [a.count(t) for t in utf8(texts)]
+                counts = (pa.array([x[i] for x in found], pa.int64()) for i in range(3))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(begin, end - begin), *counts], ["doc_id", "n_words", "n_tokens", "n_unknown"])
 
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     bounded_batches(d.sparkSession)
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_words long, n_tokens long, n_unknown long")
+    return d.mapInArrow(lean(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_words long, n_tokens long, n_unknown long")

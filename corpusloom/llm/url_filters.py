@@ -1,11 +1,14 @@
 """Operator 7: URL rules, and trust propagated over the link graph for hosts that no rule decides.
 
 A rule (host and path prefix) fits its host and all subdomains; the longest that fits wins. For the rest, edges run between
-hosts: from a page's host to every other known host named in its html (the host of a whole URL, by the rule for the pages'
-own, or a name with an inner dot in text). Trust spreads from hosts with
-allowed pages by personalised PageRank along the edges; distrust spreads from hosts with blocked pages along the reversed
-edges, so that who links to blocked hosts is distrusted. Steps end when no score changes by more than TOLERANCE of itself,
-so every host that mass can reach has its share, however far it is. A host is blocked where its distrust exceeds RATIO times its trust.
+hosts: from a page's host to the host of every whole or scheme-relative URL in its html (links, canonical and base addresses
+alike), whether or not that host has pages here, and to every known host named in the text. Relative links stay on their host
+and are no edges. Trust spreads from hosts with allowed pages by personalised PageRank along the edges; distrust spreads from
+hosts with blocked pages along the reversed edges, so that who links to blocked hosts is distrusted. A host without pages
+counts as one page with the path / for the rules, so hosts that link to the same blocked site are distrusted without its
+pages. What reaches hosts without edges goes back to the seeds: scores of a kind add up to 1. Steps end when no score changes
+by more than TOLERANCE of itself, so every host that mass can reach has its share, however far it is. A host is blocked where
+its distrust exceeds RATIO times its trust.
 
 Defined results: a null url, or one without ://, has empty host and path and, as no rule fits and no host is known, is
 allowed; null html names no hosts; a host without edges or seeds is allowed; equal rows give equal results; empty tables
@@ -29,7 +32,7 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-DAMPING, TOLERANCE, RATIO, CUT_EVERY = 0.85, 1e-9, 1.0, 4
+DAMPING, TOLERANCE, RATIO, CUT_EVERY = 0.85, 1e-7, 1.0, 8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -56,25 +59,30 @@ def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
 def with_rule(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """pages (with host, path) and the winning rule and its verdict, null where none fits."""
     hosts = materialize(pages.select("host").distinct(), "url-hosts")
-    by_host, _ = small(materialize(host_rules(hosts, rules).withColumnRenamed("host", "r_host"), "url-rules"), 256)
+    by_host, _ = small(materialize(host_rules(hosts, rules).withColumnRenamed("host", "r_host"), "url-rules"))
     best = F.array_max(F.filter("rules", lambda r: F.startswith(F.col("path"), r["p"])))
     return pages.join(by_host, F.col("host") == F.col("r_host"), "left").withColumn("best", best).withColumn("rule", F.col("best.rule")).withColumn("ruled", F.col("best.v")).drop("best", "rules", "r_host")
 
 
 def mentions(html):
-    """Hosts of whole URLs, and names with an inner dot, in html, lower-cased; the possessive runs make the scan linear."""
-    urls = F.regexp_extract_all(html, F.lit(r"""://([^/?#\s"'<>]++)"""), F.lit(1))
+    """(linked, named): hosts of whole and scheme-relative URLs in html without closing punctuation; and, as they stand, these
+    and names with an inner dot. Lower-cased; the possessive runs make the scan linear."""
+    urls = F.regexp_extract_all(html, F.lit(r"""(?:://|["'=]//)([^/?#\s"'<>]++)"""), F.lit(1))
     found = F.regexp_extract_all(html, F.lit(r"(?<![A-Za-z0-9.-])[A-Za-z0-9-]++\.[A-Za-z0-9.-]++"), F.lit(0))
     lower = lambda x: F.translate(x, _UPPER, _LOWER)
-    ended = F.concat(F.transform(urls, lower), F.transform(urls, lambda x: F.rtrim(lower(x), F.lit(".,;:!)"))))
-    return F.array_distinct(F.concat(ended, F.transform(found, lambda x: F.rtrim(lower(x), F.lit(".")))))
+    linked = F.array_distinct(F.filter(F.transform(urls, lambda x: F.rtrim(lower(x), F.lit(".,;:!)"))), lambda x: x != ""))
+    return linked, F.array_except(F.concat(F.transform(urls, lower), F.transform(found, lambda x: F.rtrim(lower(x), F.lit(".")))), linked)
 
 
 def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(src, dst, pages): distinct pairs of known hosts, and how many pages of src name dst."""
-    named = pages.filter("host <> ''").select(F.col("host").alias("src"), F.explode(mentions(F.col("html"))).alias("dst")).filter("src <> dst")
-    counted = named.groupBy("src", "dst").agg(F.count("*").alias("pages"))
-    return counted.join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi").select("src", "dst", "pages")
+    """(src, dst, pages): how many pages of src link to dst or name it; hosts that are only named must be known."""
+    linked, named = mentions(F.col("html"))
+    target = lambda sure: lambda h: F.struct(h.alias("dst"), F.lit(sure).alias("linked"))
+    to = F.concat(F.transform(linked, target(1)), F.transform(named, target(0)))
+    found = pages.filter("host <> ''").select(F.col("host").alias("src"), F.explode(to).alias("to")).select("src", "to.*").filter("src <> dst")
+    counted = found.groupBy("src", "dst").agg(F.count("*").alias("pages"), F.max("linked").alias("linked"))
+    known = hosts.select(F.col("host").alias("known"))
+    return counted.join(known, F.col("dst") == F.col("known"), "left").filter("linked = 1 or known is not null").select("src", "dst", "pages")
 
 
 def settled(before: DataFrame, after: DataFrame, tolerance: float) -> bool:
@@ -86,7 +94,8 @@ def settled(before: DataFrame, after: DataFrame, tolerance: float) -> bool:
 
 def propagate(seeds: DataFrame, edges: DataFrame, damping=DAMPING, steps=None, tolerance=TOLERANCE) -> DataFrame:
     """(kind, host, score) after the given number of steps, or once settled. seeds: kind, host, seed (adding up to 1 a kind);
-    edges: kind, src, dst, w with weights of a source adding up to 1. Mass at hosts without edges is not handed on."""
+    edges: kind, src, dst, w with weights of a source adding up to 1. Mass at hosts without edges is not handed on: giving it back
+    to the seeds changes all scores by one factor, which trust() takes out."""
     rank = last = seeds.select("kind", "host", F.col("seed").alias("score"))
     done = 0
     while steps is None or done < steps:
@@ -103,7 +112,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping=DAMPING, steps=None, t
 
 
 def trust(ruled: DataFrame, edges: DataFrame, damping=DAMPING, steps=None) -> DataFrame:
-    """(host, trust, distrust). Seeds are the shares of all allowed, and of all blocked, pages."""
+    """(host, trust, distrust), each adding up to 1. Seeds are the shares of all allowed, and of all blocked, pages."""
     counts = ruled.filter("ruled is not null").groupBy(F.when(F.col("ruled") == "allow", "trust").otherwise("distrust").alias("kind"), "host").agg(F.count("*").alias("n"))
     counts = materialize(counts, "url-seeds")
     total = counts.groupBy("kind").agg(F.sum("n").alias("total"))
@@ -112,6 +121,8 @@ def trust(ruled: DataFrame, edges: DataFrame, damping=DAMPING, steps=None) -> Da
     out = both.groupBy("kind", "src").agg(F.sum("pages").alias("all_pages"))
     weighted = materialize(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("pages") / F.col("all_pages")).alias("w")), "url-edges")
     rank = propagate(seeds, weighted, damping, steps)
+    mass = rank.groupBy("kind").agg(F.sum("score").alias("mass"))
+    rank = rank.join(F.broadcast(mass), "kind").select("kind", "host", (F.col("score") / F.col("mass")).alias("score"))
     return rank.groupBy("host").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")))
 
 
@@ -123,7 +134,10 @@ def judge(pages: DataFrame, rules=RULES, page_id="page_id", url="url", html="htm
     ruled = materialize(with_rule(p.drop("html"), rules_table(spark, rules)), "url-ruled")
     hosts = ruled.select("host").distinct().filter("host <> ''")
     edges = materialize(host_edges(p, hosts), "url-links")
-    scores, _ = small(materialize(trust(ruled, edges).withColumnRenamed("host", "s_host"), "url-trust"))
+    others = edges.select(F.col("dst").alias("host")).distinct().join(hosts, "host", "left_anti").withColumn("path", F.lit("/"))
+    seen = ruled.select("host", "ruled").unionByName(with_rule(others, rules_table(spark, rules)).select("host", "ruled"))
+    scores = trust(seen, edges).join(hosts, "host", "left_semi").withColumnRenamed("host", "s_host")
+    scores, _ = small(materialize(scores, "url-trust"))
     out = ruled.join(scores, F.col("host") == F.col("s_host"), "left")
     t, d = (F.coalesce(F.col(k), F.lit(0.0)) for k in ("trust", "distrust"))
     by_graph = F.when(d > t * F.lit(float(ratio)), "block").otherwise("allow")

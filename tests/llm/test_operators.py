@@ -174,33 +174,80 @@ def test_licences_are_inherited(spark):
     assert got == {1: ("MIT", "MIT", None), 2: (None, "Apache-2.0", "a/b"), 3: ("Apache-2.0", "Apache-2.0", None), 4: (None, "Apache-2.0", "a/b"), 5: (None, None, None), 6: ("GPL-3.0", "GPL-3.0", None)}
 
 
-def test_licence_prefilter_loses_no_line(spark):
-    """Lines with template words, strangers and repeats: the same licences as by plain TF-IDF cosines."""
-    rng, model = random.Random(1), licences.Model(licences.TEMPLATES, licences.THRESHOLD)
-    words = [w for v in licences.TEMPLATES.values() for w in v.split()]
+def test_licence_prefilter_loses_no_unit(spark):
+    """Lines, blocks and files with template words, strangers and repeats: the same licences as by plain TF-IDF cosines."""
+    rng, model = random.Random(1), licences.Model(licences.known_templates(), licences.THRESHOLD)
+    texts = [v for vs in licences.known_templates().values() for v in vs]
+    words = [w for v in texts for w in v.split()]
     rows = []
-    for i in range(600):
-        base = rng.choice(list(licences.TEMPLATES.values())).split()
+    for i in range(400):
+        base = rng.choice(texts).split()
         x = base[: rng.randrange(1, len(base) + 1)] + [rng.choice([*words, "zzz", "zzz", f"foo{rng.randrange(50)}"]) for _ in range(rng.randrange(12))]
-        rng.shuffle(x)
-        rows.append((i, f"d{i}/x", " ".join(x * rng.choice((1, 1, 2)))))
-    vectors = {}
-    for name, t, w, _ in model.rows:
-        vectors.setdefault(name, {})[t] = w
-
-    def own(line):
-        x = {}
-        for t in re.findall("[a-z0-9]+", line.lower()):
-            x[t] = x.get(t, 0) + model.idf.get(t, model.unseen)
-        norm = sum(v * v for v in x.values()) ** 0.5
-        score, _, name = max((round(sum(v * w.get(t, 0) for t, v in x.items()) / norm, 9), -i, n) for i, (n, w) in enumerate(sorted(vectors.items())))
-        return name if score >= licences.THRESHOLD else None
+        if rng.random() < 0.7:
+            rng.shuffle(x)
+        x = x * rng.choice((1, 1, 2))
+        rows.append((i, f"d{i}/x", " ".join(w + rng.choice(("", "", "", "", "", "\n", "\n# ", "\n//\n")) for w in x)))
+
+    def own(text):
+        units = [text, *text.split("\n"), *re.split(r"\n[^A-Za-z0-9]*\n", text)]
+        best = (0, 0, "")
+        for u in units:
+            x = {}
+            for t in re.findall("[a-z0-9]+", u.lower()):
+                x[t] = x.get(t, 0) + model.idf.get(t, model.unseen)
+            norm = sum(v * v for v in x.values()) ** 0.5 or 1
+            best = max(best, *((round(sum(v * w.get(t, 0) for t, v in x.items()) / norm, 9), -k, model.names[k]) for k, w in enumerate(model.weights)))
+        return best[2] if best[0] >= licences.THRESHOLD else None
 
     got = {r.key: r.own_licence for r in licences.scan(spark.createDataFrame(rows, "key long, path string, text string")).collect()}
     want = {k: own(t) for k, _, t in rows}
     assert got == want and sum(v is not None for v in want.values()) > 50
 
 
+def test_whole_licence_files_headers_tags_and_rows_of_one_key(spark):
+    from corpusloom.llm import licence_texts
+
+    apache = "/*\n * Copyright 2020 Some One\n *\n" + "\n".join(f" * {x}" for x in licence_texts.BLOCKS["Apache-2.0"][0].split("\n")) + "\n *\n */\nint main() { return 0; }\n"
+    gpl = "".join(f"# {x}\n" for x in licence_texts.BLOCKS["GPL-3.0"][0].split("\n")) + "\nimport os\n"
+    mit = "MIT License\n\nCopyright (c) 2021 A. N. Author\n\n" + "\n\n".join((licence_texts._MIT, licence_texts._MIT_NOTICE, licence_texts._WARRANTY_MIT))
+    bsd = "Copyright (c) 2019, B\n\n" + licence_texts.FILES["BSD-3-Clause"][1]
+    copying = "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc.\n"
+    files = [(1, "m/LICENSE", mit), (2, "m/src/a.c", "int x;"), (3, "p/a.c", apache), (4, "q/b.py", gpl), (5, "b/LICENSE.txt", bsd), (6, "t/a.rs", "// SPDX-License-Identifier: MIT\nfn main() {}"), (7, "c/COPYING", copying), (8, "u/a.rs", "// SPDX-License-Identifier: Nothing-9\n"), (9, "x", "the software of the work is here and to be used"), (10, "same", "Released under the MIT License."), (10, "same", "nothing here")]
+    got = licences.scan(spark.createDataFrame(files, "key long, path string, text string")).collect()
+    by = {r.key: r.own_licence for r in got if r.key < 10}
+    assert by == {1: "MIT", 2: None, 3: "Apache-2.0", 4: "GPL-3.0", 5: "BSD-3-Clause", 6: "MIT", 7: "GPL-3.0", 8: None, 9: None}
+    assert sorted(str(r.own_licence) for r in got if r.key == 10) == ["MIT", "None"]
+    assert [(r.licence, r.inherited_from) for r in got if r.key == 2] == [("MIT", "m")]
+
+
+def test_licences_are_inherited_as_by_walking_up(spark):
+    rng = random.Random(3)
+    said = {"MIT": "Released under the MIT License.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.", None: "int x"}
+    rows = [(i, "/".join(rng.choice("ab") for _ in range(rng.randrange(5))) + f"/{rng.choice(('LICENSE', 'x.c', 'y.c', 'z.c'))}", rng.choice(list(said))) for i in range(60)]
+    rows = list({p: (i, p, x) for i, p, x in rows}.values())
+    stated = {}
+    for d in {p.rpartition("/")[0] for _, p, _ in rows}:
+        mine = [(p, x) for _, p, x in rows if p.rpartition("/")[0] == d and x]
+        files = sorted((p, x) for p, x in mine if p.endswith("LICENSE"))
+        if files:
+            stated[d] = files[0][1]
+        elif len(mine) >= licences.AGREE and len({x for _, x in mine}) == 1:
+            stated[d] = mine[0][1]
+
+    def want(p, x):
+        d = p.rpartition("/")[0]
+        while x is None:
+            if d in stated:
+                return stated[d], d
+            if not d:
+                break
+            d = d.rpartition("/")[0]
+        return x, None
+
+    got = {r.key: (r.licence, r.inherited_from) for r in licences.scan(spark.createDataFrame([(i, p, said[x]) for i, p, x in rows], "key long, path string, text string")).collect()}
+    assert got == {i: want(p, x) for i, p, x in rows} and any(v[1] is not None for v in got.values())
+
+
 def shingle_set(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()

@@ -1,10 +1,12 @@
 """Cases that the operators lost before they did the whole job."""
 
 import random
+import re
 
+import numpy as np
 import pytest
 
-from corpusloom.llm import decontaminate, pii, quality_rules, url_filters
+from corpusloom.llm import decontaminate, pii, quality_rules, substring_dedup, url_filters
 
 
 @pytest.mark.parametrize("before, iban, after", [
@@ -62,3 +64,111 @@ def test_distrust_reaches_far_hosts_and_all_link_targets(spark):
     rules = [("block", h, "/") for h in ("h0.bad", "a_b:81", "localhost")] + [("block", "é.bad2", "")]
     got = {r.host: r.verdict for r in url_filters.judge(p, rules=rules).collect()}
     assert [h for h, v in got.items() if v != "block"] == []
+
+
+def brute_passages(texts):
+    """For each text the words in subsequences of TOKENS shingles of which 80 % are in one other text, trimmed to such."""
+    n, need = substring_dedup.TOKENS, 37
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    out = []
+    for a, w in enumerate(texts):
+        hit = set()
+        for b, other in enumerate(sets):
+            if a != b and texts[a] != texts[b]:
+                flags = [tuple(w[i : i + 5]) in other for i in range(len(w) - 4)]
+                for s in range(len(flags) - n + 1):
+                    if sum(flags[s : s + n]) >= need:
+                        shared = [i for i in range(s, s + n) if flags[i]]
+                        hit.update(range(shared[0], shared[-1] + 5))
+        out.append(hit)
+    return out
+
+
+def test_passages_against_all_pairs_and_mosaics(spark):
+    """Repeats, near repeats and common lines: recall and precision by words. Mosaics of many documents are left alone."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(900)]
+    prose = lambda n: [rng.choice(words) for _ in range(n)]
+    common = [prose(14) for _ in range(3)]
+    passages = [prose(rng.choice((50, 52, 60, 90))) for _ in range(25)]
+    texts = []
+    for i in range(150):
+        w = prose(rng.randint(30, 90))
+        if i % 2:
+            p = list(passages[rng.randrange(25)])
+            for _ in range(rng.choice((0, 0, 0, 1, 1, 2))):
+                p[rng.randrange(len(p))] = f"x{rng.randrange(10**6)}"
+            w += p + prose(rng.randint(10, 40))
+        w += rng.choice(common) if i % 3 else []
+        texts.append(w + prose(20))
+    mosaics = [sum((texts[rng.randrange(0, 150, 2)][k : k + 26] for k in rng.choices(range(4), k=16)), []) for _ in range(6)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts + mosaics)]
+    got = {r.doc_id: {k for s in r.spans for k in range(s.start, s.end)} for r in substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_passages(texts + mosaics)
+    found = sum(len(got[i] & w) for i, w in enumerate(want))
+    assert found >= 0.97 * sum(map(len, want)) and found >= 0.97 * sum(map(len, got.values()))
+    recall = [bool(got[i]) for i, w in enumerate(want) if w]
+    assert len(recall) > 50 and sum(recall) >= 0.97 * len(recall)
+    assert not any(got[i] for i, w in enumerate(want) if not w)
+
+
+def test_judged_pages_equal_a_dense_computation(spark):
+    """Rules, hosts and edges by plain Python, scores by iterating matrices with what dangling hosts hold going to the seeds."""
+    rng = random.Random(5)
+    hosts = [f"h{i}.{rng.choice(('com', 'org', 'net'))}" for i in range(20)] + ["www.example.com", "example.com", "a.b.net"]
+    far = ["evil.net", "good.com", "plain.io"]  # no pages; evil.net has a rule of its own
+    rules = [*url_filters.RULES, ("block", "evil.net", "/")]
+    rows = []
+    for i in range(90):
+        links = rng.choices(hosts + far, k=rng.randrange(4))
+        html = " ".join(rng.choice(('<a href="http://{}/x">', "<link rel=canonical href='//{}/'>", "see {} now", '<a href="/en/{}">', "HTTP://{}.")).format(h.upper() if rng.random() < 0.2 else h) for h in links)
+        rows.append((i, f"https://{rng.choice(hosts)}/{rng.choice(('en/', 'es/', 'x', ''))}", html))
+
+    def rule(host, path):
+        fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits, default=(0, None, None))[1:]
+
+    split = lambda u: (u.split("//")[1].split("/")[0], "/" + u.split("//")[1].split("/", 1)[1])
+    known = {split(u)[0] for _, u, _ in rows}
+    edges, seeds = {}, {"allow": {}, "block": {}}
+    for _, u, html in rows:
+        src, low = split(u)[0], html.lower()
+        linked = {x.rstrip(".") for x in re.findall(r"//([^/ ]+)", low)}
+        named = set(re.findall(r"[a-z0-9-]+\.[a-z0-9.-]*[a-z0-9]", low)) & known
+        for dst in (linked | named) - {src}:
+            edges[src, dst] = edges.get((src, dst), 0) + 1
+        v = rule(*split(u))[1]
+        if v:
+            seeds[v][src] = seeds[v].get(src, 0) + 1
+    for dst in {d for _, d in edges} - known:
+        if v := rule(dst, "/")[1]:
+            seeds[v][dst] = 1
+    names = sorted(known | {d for _, d in edges})
+    at = {h: i for i, h in enumerate(names)}
+    score = {}
+    for kind, of in seeds.items():
+        s = np.zeros(len(names))
+        for h, n in of.items():
+            s[at[h]] = n
+        s /= s.sum()
+        m = np.zeros((len(names), len(names)))
+        for (a, b), n in edges.items():
+            a, b = (a, b) if kind == "allow" else (b, a)
+            m[at[b], at[a]] = n
+        out = m.sum(0)
+        m[:, out > 0] /= out[out > 0]
+        r = s
+        for _ in range(400):
+            r = 0.85 * (m @ r + r[out == 0].sum() * s) + 0.15 * s
+        score[kind] = r
+    got = url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), rules=rules).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        _, u, _ = rows[r.page_id]
+        host, path = split(u)
+        who, v = rule(host, path)
+        t, d = score["allow"][at[host]], score["block"][at[host]]
+        assert (r.host, r.path, r.rule) == (host, path, who)
+        assert abs(r.trust - t) < 1e-6 and abs(r.distrust - d) < 1e-6
+        assert r.verdict == (v or ("block" if d > t else "allow"))
+    assert {r.verdict for r in got if r.rule is None} == {"allow", "block"}
