@@ -23,7 +23,8 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     spans = F.array_join(F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    return found.select("doc_id", *map(count, pii.BASE), "base_sha256", spans.alias("spans"))
+    total = F.size("found").cast("long")
+    return found.select("doc_id", *map(count, pii.BASE), "base_sha256", spans.alias("spans"), total.alias("n_spans"), *map(count, pii.KINDS[4:]))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +98,7 @@ FROM sums
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-_SQL_OP6 = f"""
+_CLASSES = f"""
 WITH RECURSIVE words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 sets AS (
   SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
@@ -111,11 +112,14 @@ links AS (
   GROUP BY a.node, b.node, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*))),
 reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 class AS (SELECT a AS node, least(a, min(b)) AS class_id FROM reach GROUP BY a),
-degree AS (SELECT l.a AS node, sum(n.copies) AS links FROM links l JOIN nodes n ON n.node = l.b GROUP BY l.a)
+degree AS (SELECT l.a AS node, sum(n.copies) AS links FROM links l JOIN nodes n ON n.node = l.b GROUP BY l.a),
+classes AS (
 SELECT d.doc_id, coalesce(c.class_id, m.node, d.doc_id) AS class_id, (coalesce(m.copies - 1, 0) + coalesce(g.links, 0))::BIGINT AS n_links
-FROM documents d LEFT JOIN member m ON d.doc_id = m.doc_id LEFT JOIN class c ON c.node = m.node LEFT JOIN degree g ON g.node = m.node
+FROM documents d LEFT JOIN member m ON d.doc_id = m.doc_id LEFT JOIN class c ON c.node = m.node LEFT JOIN degree g ON g.node = m.node)
 """
 
+_SQL_OP6 = f"{_CLASSES} SELECT doc_id, class_id, n_links FROM classes"
+
 _SQL_OP8 = f"""
 WITH items AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark),
 phrases AS (
@@ -132,8 +136,8 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
-_SQL_OP10 = r"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+_SQL_OP10 = _CLASSES + r""",
+d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
 win AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
 again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
@@ -144,7 +148,7 @@ lines AS (
          md5(array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ')) AS h
   FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
-ident AS (SELECT doc_id, source, min(h) AS ident FROM lines GROUP BY doc_id, source),
+ident AS (SELECT doc_id, source, class_id AS ident FROM (SELECT DISTINCT doc_id, source FROM lines) JOIN classes USING (doc_id)),
 hosts AS (SELECT source, count(DISTINCT ident) AS n FROM ident GROUP BY source),
 often AS (
   SELECT l.source, l.h, count(DISTINCT i.ident) AS n FROM lines l JOIN ident i ON l.doc_id = i.doc_id GROUP BY l.source, l.h),
