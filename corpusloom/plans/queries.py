@@ -32,10 +32,13 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def pairs(spark, d) -> DataFrame:
-    lines = F.split("text", "\n")
-    return table(spark, d, "documents").select(
-        F.concat(F.lit("s"), F.col("doc_id") % 5).alias("source_short_name"), F.col("doc_id").alias("raw_row_index"), F.get(lines, F.lit(0)).alias("en"), F.get(lines, F.lit(1)).alias("vi"), F.col("lang").alias("category")
-    )
+    """Each user's turn of a conversation with the answer to it, in whole; the row index tells conversation and turn."""
+    t = table(spark, d, "conversations")
+    asked = t.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("en"))
+    answer = t.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("vi"))
+    category = F.element_at(F.array(*map(F.lit, ("de", "en", "es", "fr"))), (F.col("conv_id") % 4 + 1).cast("int"))
+    row = F.col("conv_id") * 1_000_000 + F.col("turn")
+    return asked.join(answer, ["conv_id", "turn"], "left").select(F.concat(F.lit("s"), F.col("conv_id") % 5).alias("source_short_name"), row.alias("raw_row_index"), "en", "vi", category.alias("category"))
 
 
 def replies(spark, d) -> DataFrame:
@@ -46,12 +49,14 @@ def replies(spark, d) -> DataFrame:
 
 
 def runs(spark, d) -> DataFrame:
-    """(row_id, model, value): up to three models a row."""
-    return table(spark, d, "lineitem").filter("l_linenumber <= 3").select(F.col("l_orderkey").alias("row_id"), F.concat(F.lit("m"), "l_linenumber").alias("model"), F.col("l_quantity").alias("value"), F.col("l_partkey").alias("part"))
+    """(row_id, model, value, part): one row for each model of a row."""
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("row_id"), F.concat(F.lit("m"), "l_linenumber").alias("model"), F.col("l_quantity").alias("value"), F.col("l_partkey").alias("part"))
 
 
-_PAIRS = """pairs AS (SELECT 's' || (doc_id % 5) AS source_short_name, doc_id AS raw_row_index, string_split(text, chr(10))[1] AS en,
-  string_split(text, chr(10))[2] AS vi, lang AS category FROM documents),
+_PAIRS = """pairs AS (SELECT 's' || (u.conv_id % 5) AS source_short_name, u.conv_id * 1000000 + u.turn AS raw_row_index, u.text AS en, a.text AS vi,
+  ['de', 'en', 'es', 'fr'][u.conv_id % 4 + 1] AS category
+  FROM (SELECT * FROM conversations WHERE role = 'user') u LEFT JOIN (SELECT * FROM conversations WHERE role = 'assistant') a
+  ON a.conv_id = u.conv_id AND a.turn = u.turn + 1),
 """
 _B = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _C = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]"
@@ -114,11 +119,13 @@ def jsonl_alias_scan(spark, d):
     return parse_examples(lines)
 
 
-@query("WITH " + _PAIRS + f"x AS (SELECT DISTINCT {_key(_clean('en'))} AS en_key, {_key(_clean('vi'))} AS vi_key FROM pairs WHERE en IS NOT NULL AND vi IS NOT NULL) SELECT * FROM x")
+@query("WITH " + _PAIRS + f"""x AS (SELECT {_key(_clean('en'))} AS en_key, {_key(_clean('vi'))} AS vi_key FROM pairs WHERE en IS NOT NULL AND vi IS NOT NULL AND category = 'en'),
+y AS (SELECT {_key(_clean('text'))} AS en_key, {_key(_clean('text'))} AS vi_key FROM benchmark WHERE text IS NOT NULL) SELECT * FROM x UNION SELECT * FROM y""")
 def protected_pairs(spark, d):
-    x = pairs(spark, d).filter("en is not null and vi is not null")
-    key = x.select(T.match_key(T.clean(F.col("en"))).alias("en_key"), T.match_key(T.clean(F.col("vi"))).alias("vi_key"))
-    return key.union(key).distinct()
+    """Keys of the protected sets: the pairs of one category and the benchmark's items as pairs of themselves."""
+    x = pairs(spark, d).filter("en is not null and vi is not null and category = 'en'").select("en", "vi")
+    y = table(spark, d, "benchmark").filter("text is not null").select(F.col("text").alias("en"), F.col("text").alias("vi"))
+    return x.union(y).select(T.match_key(T.clean(F.col("en"))).alias("en_key"), T.match_key(T.clean(F.col("vi"))).alias("vi_key")).distinct()
 
 
 @query("WITH " + _VALID + "SELECT source_short_name, raw_row_index, en_clean, vi_clean FROM ok")
@@ -199,10 +206,10 @@ def schema_domain_errors(spark, d):
     return table(spark, d, "orders").filter(bad).groupBy("o_orderstatus").agg(F.min("o_orderkey").alias("first_error"))
 
 
-@query("SELECT l_shipmode, l_linestatus FROM (SELECT l_returnflag AS l_shipmode, l_linestatus FROM lineitem) WHERE l_shipmode = 'A' AND l_linestatus = 'F' LIMIT 0")
+@query("SELECT l_shipmode, l_linestatus FROM (SELECT l_returnflag AS l_shipmode, l_linestatus FROM lineitem) WHERE l_shipmode = 'A' AND l_linestatus = 'F'")
 def equality_filter_none(spark, d):
     x = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("l_shipmode"), "l_linestatus")
-    return x.filter((F.col("l_shipmode") == "A") & (F.col("l_linestatus") == "F")).limit(0)
+    return x.filter((F.col("l_shipmode") == "A") & (F.col("l_linestatus") == "F"))
 
 
 # --- joins ---------------------------------------------------------------------------------------------------------------
@@ -224,10 +231,10 @@ def three_way_join(spark, d):
     return j.select("o_orderkey", "c_name", "n_name", (F.col("o_custkey") != F.col("c_custkey")).alias("differs"))
 
 
-_RUNS = "runs AS (SELECT l_orderkey AS row_id, 'm' || l_linenumber AS model, l_quantity AS value, l_partkey AS part FROM lineitem WHERE l_linenumber <= 3)"
+_RUNS = "runs AS (SELECT l_orderkey AS row_id, 'm' || l_linenumber AS model, l_quantity AS value, l_partkey AS part FROM lineitem)"
 
 
-@query(f"WITH {_RUNS} SELECT row_id, max(value) FILTER (model = 'm1') AS m1, max(value) FILTER (model = 'm2') AS m2, max(value) FILTER (model = 'm3') AS m3 FROM runs GROUP BY row_id HAVING count(DISTINCT model) = 3")
+@query(f"WITH {_RUNS} SELECT row_id, max(value) FILTER (model = 'm1') AS m1, max(value) FILTER (model = 'm2') AS m2, max(value) FILTER (model = 'm3') AS m3 FROM runs GROUP BY row_id HAVING m1 IS NOT NULL AND m2 IS NOT NULL AND m3 IS NOT NULL")
 def pivot_models(spark, d):
     return runs(spark, d).groupBy("row_id").pivot("model", ["m1", "m2", "m3"]).agg(F.max("value")).dropna()
 
@@ -257,7 +264,7 @@ def cohort_semi_join(spark, d):
 
 _INTEGRITY = """
 WITH expected AS (SELECT doc_id AS id, md5(text) AS h FROM documents WHERE doc_id % 9 <> 0),
-target AS (SELECT doc_id AS id, md5(CASE WHEN doc_id % 13 = 0 THEN '' ELSE text END) AS h, CASE WHEN doc_id % 17 = 0 THEN ' ' ELSE substr(text, 1, 300) END AS t FROM documents WHERE doc_id % 8 <> 0
+target AS (SELECT doc_id AS id, md5(CASE WHEN doc_id % 13 = 0 THEN '' ELSE text END) AS h, CASE WHEN doc_id % 17 = 0 THEN ' ' ELSE text END AS t FROM documents WHERE doc_id % 8 <> 0
   UNION ALL SELECT doc_id, md5(text), 'x' FROM documents WHERE doc_id % 50 = 1),
 one AS (SELECT id, count(*) AS n, max(h) AS h1, min(h) AS h0, bool_or(trim(t) = '') AS blank, max(length(t)) AS len FROM target GROUP BY id)
 SELECT count(*) FILTER (o.id IS NULL) AS missing, count(*) FILTER (o.n > 1) AS duplicate, count(*) FILTER (e.id IS NULL) AS unexpected,
@@ -269,7 +276,7 @@ FROM expected e FULL JOIN one o ON o.id = e.id"""
 def target_integrity(spark, d):
     t = table(spark, d, "documents")
     expected = t.filter("doc_id % 9 <> 0").select(F.col("doc_id").alias("e_id"), F.md5(F.col("text").cast("binary")).alias("h"))
-    target = t.filter("doc_id % 8 <> 0").select("doc_id", F.md5(F.when(F.col("doc_id") % 13 == 0, "").otherwise(F.col("text")).cast("binary")).alias("h"), F.when(F.col("doc_id") % 17 == 0, " ").otherwise(F.substring("text", 1, 300)).alias("t"))
+    target = t.filter("doc_id % 8 <> 0").select("doc_id", F.md5(F.when(F.col("doc_id") % 13 == 0, "").otherwise(F.col("text")).cast("binary")).alias("h"), F.when(F.col("doc_id") % 17 == 0, " ").otherwise(F.col("text")).alias("t"))
     target = target.unionAll(t.filter("doc_id % 50 = 1").select("doc_id", F.md5(F.col("text").cast("binary")), F.lit("x")))
     one = target.groupBy(F.col("doc_id").alias("o_id")).agg(F.count("*").alias("n"), F.max("h").alias("h1"), F.min("h").alias("h0"), F.bool_or(F.trim("t") == "").alias("blank"), F.max(F.length("t")).alias("len"))
     j = expected.join(one, F.col("e_id") == F.col("o_id"), "full_outer")
@@ -363,9 +370,14 @@ def split_counts(spark, d):
     return P.release(pairs(spark, d)).groupBy("split", "primary_group").agg(F.count("*").alias("n_rows"))
 
 
-@query("SELECT * FROM (VALUES ('validation', 'english', 0::BIGINT), ('validation', 'pair', 0::BIGINT), ('it_test', 'english', 0::BIGINT), ('it_test', 'pair', 0::BIGINT)) v(split, kind, shared)")
+@query("WITH " + _VALID + """, dealt AS (SELECT *, CASE raw_row_index % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'it_test' END AS split FROM copies)
+SELECT v.split, v.kind, (SELECT count(DISTINCT CASE v.kind WHEN 'english' THEN a.en_key ELSE a.global_key END) FROM dealt a JOIN dealt b
+  ON b.split = v.split AND a.split = 'train' AND CASE v.kind WHEN 'english' THEN a.en_key = b.en_key ELSE a.global_key = b.global_key END) AS shared
+FROM (VALUES ('validation', 'english'), ('validation', 'pair'), ('it_test', 'english'), ('it_test', 'pair')) v(split, kind)""")
 def leakage_overlap(spark, d):
-    return P.leakage(P.release(pairs(spark, d)))
+    """What a split by row number would share, copies and all; that of the release shares nothing (a test says so)."""
+    split = F.element_at(F.array(*map(F.lit, ("train", "validation", "it_test"))), (F.col("raw_row_index") % 3 + 1).cast("int"))
+    return P.leakage(P.keyed(P.cleaned(pairs(spark, d))).withColumn("split", split))
 
 
 @query("WITH " + _VALID + "SELECT source_short_name, raw_row_index, copy FROM copies WHERE copy > 1")
@@ -525,10 +537,12 @@ def top_k_per_group(spark, d):
     return table(spark, d, "orders").withColumn("rn", F.row_number().over(w)).filter("rn <= 3").select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-@query("SELECT l_orderkey AS row_id FROM lineitem WHERE l_linenumber = 1 INTERSECT SELECT l_orderkey FROM lineitem WHERE l_linenumber = 4 ORDER BY sha256(l_orderkey::VARCHAR) LIMIT 5".replace("ORDER BY sha256(l_orderkey::VARCHAR) LIMIT 5", ""))
+@query("SELECT row_id FROM (SELECT l_orderkey AS row_id FROM lineitem WHERE l_linenumber = 1 INTERSECT SELECT l_orderkey FROM lineitem WHERE l_linenumber = 4) ORDER BY sha256(row_id::VARCHAR), row_id LIMIT 5")
 def common_ids(spark, d):
+    """The five common ids that come first by hash: a sample for review."""
     t = table(spark, d, "lineitem")
-    return t.filter("l_linenumber = 1").select(F.col("l_orderkey").alias("row_id")).intersect(t.filter("l_linenumber = 4").select("l_orderkey"))
+    both = t.filter("l_linenumber = 1").select(F.col("l_orderkey").alias("row_id")).intersect(t.filter("l_linenumber = 4").select("l_orderkey"))
+    return both.orderBy(F.sha2(F.col("row_id").cast("string"), 256), "row_id").limit(5)
 
 
 @query("SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders")
@@ -556,10 +570,10 @@ def uniqueness_gate(spark, d):
 # --- scalar functions ----------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, sha256(to_json([lang, substr(text, 1, 50)])::VARCHAR) AS pair_sha256, substr(sha256('42:' || doc_id), 1, 16) AS stable, sha256(lang || '␟' || source) AS key_sha256 FROM documents")
+@query("SELECT doc_id, sha256(to_json([lang, text])::VARCHAR) AS pair_sha256, substr(sha256('42:' || doc_id), 1, 16) AS stable, sha256(lang || '␟' || source) AS key_sha256 FROM documents")
 def hashes(spark, d):
     t = table(spark, d, "documents")
-    return t.select("doc_id", T.pair_hash(F.col("lang"), F.substring("text", 1, 50)).alias("pair_sha256"), T.stable_rank(F.col("doc_id").cast("string"), "42").alias("stable"), T.key_hash(F.col("lang"), F.col("source")).alias("key_sha256"))
+    return t.select("doc_id", T.pair_hash(F.col("lang"), F.col("text")).alias("pair_sha256"), T.stable_rank(F.col("doc_id").cast("string"), "42").alias("stable"), T.key_hash(F.col("lang"), F.col("source")).alias("key_sha256"))
 
 
 @query("WITH " + _GROUPED + " SELECT raw_row_index, array_to_string(tags, ',') AS tags, primary_group, group_method FROM grouped")
