@@ -53,7 +53,7 @@ IBAN_LENGTHS = {
     for k in ks.split()
 }
 _TEL = re.compile(r"(?<![0-9+().-])(?<![0-9] )(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])")
-_NAMES = ("token", "secret", "passw", "pwd", "key", "credential")
+_NAMES = ("token", "secret", "passw", "pwd", "key", "credential", "auth", "bearer")
 _ASSIGNED = re.compile(
     r"""(?:token|secret|password|passwd|pwd|(?:api|access|private|secret|auth|encryption)[_-]?key|credentials?)["']?[ \t]{0,3}(?::=|=>|=|:)[ \t]{0,3}["']?([^\s"'<>,;]{8,}+)""", re.I
 )
