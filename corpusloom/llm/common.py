@@ -237,10 +237,15 @@ def utf8(texts) -> list[bytes]:
 
 #: Arrow batches are cut at this many bytes where the session can do that, so that long texts don't add up in a worker.
 BATCH_BYTES = 4 << 20
+#: Rows that the Parquet reader decodes at once; it has no limit of bytes, and Spark's 4096 whole texts may be gigabytes.
+READ_ROWS = 256
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Set the byte limit of Arrow batches, unless the session has a lower one."""
+    """Set the byte limit of Arrow batches and the rows of a read, unless the session has lower ones."""
+    rows = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(rows)) > READ_ROWS:
+        spark.conf.set(rows, str(READ_ROWS))
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = re.fullmatch(r"(\d+)b?", str(spark.conf.get(name)).strip().lower())
     if not now or int(now[1]) <= 0 or int(now[1]) > BATCH_BYTES:
