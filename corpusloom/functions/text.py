@@ -187,3 +187,17 @@ SYLLABLE = _syllable_pattern()
 
 def is_bare_syllable(word: Column) -> Column:
     return (F.length(word) <= 7) & ~word.rlike("[^a-z]|[fjwz]") & word.rlike(SYLLABLE)
+
+
+ID = r"^c[0-9]{8}-[0-9]{9}-[0-9a-f]{4}$"
+
+
+def new_id(at: Column, random: Column) -> Column:
+    """An id that sorts by time: c, date, time to the millisecond in the session's zone, the last 16 bits of a random number."""
+    return F.concat(F.lit("c"), F.date_format(at, "yyyyMMdd-HHmmssSSS"), F.lit("-"), F.lpad(F.lower(F.hex(random.bitwiseAND(0xFFFF))), 4, "0"))
+
+
+def is_utc(stamp: Column) -> Column:
+    """Whether it is an ISO date and time that exists, with an offset of zero; null is not."""
+    shape = stamp.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?(\+00:00|Z)$")
+    return F.coalesce(shape & F.try_to_timestamp(stamp).isNotNull(), F.lit(False))

@@ -74,3 +74,30 @@ def over_budget(counts: DataFrame, total: DataFrame, budgets: dict[str, float],
 def blank_fields(text: Column) -> Column:
     """Names of the fields of a two-column Markdown table that have no value."""
     return F.regexp_extract_all(text, F.lit(r"(?m)^\|[ \t]*([^|\n]*[^|\s])[ \t]*\|[ \t]*\|[ \t]*$"), F.lit(1))
+
+
+def evidence_problems(expected: DataFrame, evidence: DataFrame, key: str = "role") -> DataFrame:
+    """key, problem: evidence (key, rows, predictions, stage, checkpoint) that is missing, unasked for, or differs from the
+    rows, the stage or the checkpoint expected of it; as many predictions as rows must be there."""
+    faults = manifest_problems(expected, evidence, key, ("rows", "stage", "checkpoint"))
+    short = evidence.filter(~F.col("predictions").eqNullSafe(F.col("rows"))).select(key, F.lit("predictions_differ").alias("problem"))
+    return faults.unionByName(short)
+
+
+def checksum_problems(records: DataFrame, found: DataFrame, key: str, referred: str, said: str, sha256: str = "sha256") -> DataFrame:
+    """key, problem: records whose `referred` artifact is not there, or has another checksum than `said`."""
+    there = found.select(F.col(key).alias("_key"), F.col(sha256).alias("_sha256"))
+    x = records.join(there, F.col(referred) == F.col("_key"), "left")
+    fault = F.when(F.col("_key").isNull(), "artifact_missing").when(~F.col(said).eqNullSafe(F.col("_sha256")), "checksum_differs")
+    return x.select(key, fault.alias("problem")).filter("problem is not null")
+
+
+def cohort_problems(cohorts: DataFrame, rows: DataFrame, fixed: DataFrame, limit: int, roles: tuple[str, ...], key: str = "row_id") -> DataFrame:
+    """role, key, problem: each role's cohort (role, key) must be the rows but the fixed ones and those of more than `limit`
+    tokens, so that the roles' cohorts are equal too."""
+    out = fixed.select(F.col(key).alias("_fixed")).distinct()
+    open_ = rows.filter(F.col("tokens") <= limit).join(out, F.col(key) == F.col("_fixed"), "left_anti").select(key)
+    wanted = open_.select(F.explode(F.array(*map(F.lit, roles))).alias("role"), key)
+    is_ = cohorts.select("role", key).distinct()
+    extra = is_.join(wanted, ["role", key], "left_anti").withColumn("problem", F.lit("excluded_row_used"))
+    return extra.unionByName(wanted.join(is_, ["role", key], "left_anti").withColumn("problem", F.lit("eligible_row_missing")))

@@ -183,3 +183,40 @@ def write_if_changed(spark: SparkSession, path: str, text: str, ignore: str = r"
         return False
     replace_text(spark, path, text)
     return True
+
+
+def read_role(spark: SparkSession, paths: dict[str, str], role: str, open_roles: frozenset[str]) -> DataFrame:
+    """The examples of a role; one that is not open in this stage is an error before anything is read."""
+    if role not in open_roles or role not in paths:
+        raise PermissionError(f"{role} is not open here")
+    return read_examples(spark, paths[role])
+
+
+def invalid_examples(rows: DataFrame, require_tags: bool) -> DataFrame:
+    """row_id, problem: the first fault of each row that has one: no id, no text of a side, or no tags where they must be."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    fault = F.when(blank("row_id"), "row_id").when(blank("en"), "en").when(blank("vi"), "vi")
+    if require_tags:
+        fault = fault.when(F.coalesce(F.size("technical_tags"), F.lit(0)) <= 0, "technical_tags")
+    return rows.select("row_id", fault.alias("problem")).filter("problem is not null")
+
+
+def tree_stats(spark: SparkSession, path: str) -> DataFrame:
+    """files and bytes under a folder, without reading them."""
+    x = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return x.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
+def read_evidence(spark: SparkSession, root: str) -> DataFrame:
+    """evidence (folder of a metrics.json), metrics, run (beside it), training (training_run.json, two folders above) as JSON
+    text, and missing: the files that are not there."""
+
+    def named(name: str, column: str) -> DataFrame:
+        x = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(root, wholetext=True)
+        return x.select(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias(f"{column}_at"), F.col("value").alias(column))
+
+    m = named("metrics.json", "metrics").withColumn("trained_at", F.regexp_replace("metrics_at", "/[^/]+/[^/]+$", ""))
+    x = m.join(named("run.json", "run"), F.col("metrics_at") == F.col("run_at"), "left")
+    x = x.join(named("training_run.json", "training"), F.col("trained_at") == F.col("training_at"), "left")
+    missing = F.array_compact(F.array(F.when(F.col("run").isNull(), F.lit("run.json")), F.when(F.col("training").isNull(), F.lit("training_run.json"))))
+    return x.select(F.col("metrics_at").alias("evidence"), "metrics", "run", "training", missing.alias("missing"))
