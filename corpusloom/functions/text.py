@@ -201,3 +201,24 @@ def is_utc(stamp: Column) -> Column:
     """Whether it is an ISO date and time that exists, with an offset of zero; null is not."""
     shape = stamp.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?(\+00:00|Z)$")
     return F.coalesce(shape & F.try_to_timestamp(stamp).isNotNull(), F.lit(False))
+
+
+@F.pandas_udf(StringType())
+def invisible_escaped(s: pd.Series) -> pd.Series:
+    """JSON text with its non-ASCII controls, blanks and marks, and U+FFFD, as escapes; what it decodes to stays."""
+
+    def escaped(c: str) -> str:
+        if c < "\x7f" or (c != "\ufffd" and unicodedata.category(c)[0] not in "CZM"):
+            return c
+        units = c.encode("utf-16-be")
+        return "".join(f"\\u{units[i]:02x}{units[i + 1]:02x}" for i in range(0, len(units), 2))
+
+    return s.map(lambda x: x if x.isascii() and "\x7f" not in x else "".join(map(escaped, x)), na_action="ignore")
+
+
+def code_point_ranges(points: Column) -> Column:
+    """An array of code points, in any order and repeated, as 'U+0000-U+0008 U+000E'."""
+    once = F.array_sort(F.array_distinct(points))
+    begins, ends = F.array_except(once, F.transform(once, lambda x: x + 1)), F.array_except(once, F.transform(once, lambda x: x - 1))
+    name = lambda x: F.concat(F.lit("U+"), F.lpad(F.hex(x), F.greatest(F.length(F.hex(x)), F.lit(4)), F.lit("0")))
+    return F.array_join(F.zip_with(begins, ends, lambda a, b: F.when(a == b, name(a)).otherwise(F.concat(name(a), F.lit("-"), name(b)))), " ")

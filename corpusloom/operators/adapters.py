@@ -33,3 +33,22 @@ def translated(rows: DataFrame, text: str, out: str, load: Callable[[], Many], s
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(joined, pa.string())], [*b.schema.names, out])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))
+
+
+def features(rows: DataFrame, source: str, target: str, load: Callable[[], Callable[[str], list[int]]]) -> DataFrame:
+    """rows with input_ids, attention_mask and labels, whole and in their order: the ids of source and target under the
+    encoder that load() gives, once a task. A null text has null ids; nothing is computed before the rows are read."""
+    at = [rows.columns.index(c) for c in (source, target)]
+    ids = pa.list_(pa.int32())
+
+    def run(batches):
+        encode = load()
+        for b in batches:
+            x, y = ([None if t is None else encode(t) for t in b.column(i).to_pylist()] for i in at)
+            mask = [None if v is None else [1] * len(v) for v in x]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v, ids) for v in (x, mask, y))], [*b.schema.names, *FEATURES])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in FEATURES)]))
+
+
+FEATURES = ("input_ids", "attention_mask", "labels")
