@@ -6,19 +6,23 @@ j <= r, between the nearest smaller values on both sides, all have c's value as
 Only windows that hold a whole passage matter. Their tokens are exactly the minima of sliding windows of that length, so
 those are found first, with running minima, and the tree stands over them alone.
 
-Windows with the same function and value are grouped; so are, later, shingles with the same value. A group is never gathered
-and no pairs are made: each of its rows learns up to six witnesses: the documents whose key is least and greatest in the group
-by the key's upper and by its lower half, and its neighbours in the order of the upper half; itself left out. Documents that
-share a passage meet the same witness in the groups of all its windows, while the pieces of a mosaic of many documents meet
-different ones. In a group of three documents each meets both others.
-
-The starts of passage-long subsequences in shared windows are intervals. They are joined per document and witness: where
-intervals of ENOUGH functions meet with the same witness, the subsequence is a candidate. Candidates are then verified on
-whole texts: a subsequence stays if at least THRESHOLD of its shingles are in candidates of one and the same witness. Spans end
-with words of shared shingles, so the text beside a passage is left alone.
-
-What the witnesses can miss: a passage is lost if, of each of the six kinds, too many of its shingles have a witness that holds
-only that part of it. The tests measure recall and precision against all pairs.
+Windows with the same function and value are grouped. Starts of passage-long subsequences where windows of ENOUGH functions are
+shared with any other text are candidates; whom they are shared with is not asked here, so no partner can be left out.
+
+Candidates are verified on whole texts, exactly: a word is in a passage if it lies between the first and the last of NEED
+(THRESHOLD of TOKENS) or more shingles of a subsequence of TOKENS that one and the same other text's candidates have. That is
+the union over all other texts, so it is enough to know, for each word, one text that covers it:
+
+* Equal texts are one text from the start; a text that is there under several ids is repeated in whole.
+* Shingles with the same value are grouped, and each row learns up to six witnesses: the texts whose key is least and greatest
+  in the group by the key's upper and by its lower half, and its neighbours in the order of the upper half. What the witnesses
+  cover is settled. They only save work.
+* A subsequence with NEED shared shingles that isn't settled is open. If two texts have the same shared shingles in theirs, each
+  covers the other's.
+* For what is still open all partners are looked at. A text with NEED of m shared shingles has one at least of any m - NEED + 1
+  of them; and if the settled words leave no gap in the middle, it adds words only if it has a shingle that isn't settled. The
+  cheaper of the two sets is looked up among all candidates' shingles, without a limit, and the texts so found are compared with
+  the open shingles. What a bitmap of open hashes lets through is compared in full, so it may be as full as it likes.
 
 A value that HOT documents of one batch have, or several often, would gather in one task; of such a value a batch sends one row to its group, and
 the others are spread and take as witnesses the first and last document of the batch that has it.
@@ -32,6 +36,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,16 +45,25 @@ from .jaccard_join import groups, stream
 
 SHINGLE, LENGTH, THRESHOLD = 5, 50, 0.8
 TOKENS = LENGTH - SHINGLE + 1
+NEED = int(np.ceil(THRESHOLD * TOKENS))
 HASHES, ENOUGH = 6, 2
 HOT = 8
 CHUNK = 1 << 18
 _U = np.uint64
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
 _HALF = np.int64(0xFFFFFFFF)
-ROWS = "route long, key long, payload long, first long, last long"
+ROWS = "route long, key long, payload long, first long, last long, spread boolean"
 #: Columns of two witnesses each, and whether these are upper (0) or lower halves (1) of keys.
 WITNESSES = {"ends": 0, "others": 1, "beside": 0}
-SPANS = "key long, spans array<struct<start:int,end:int>>"
+LIST = "array<struct<start:int,end:int>>"
+SPANS = f"key long, spans {LIST}"
+#: The function's number in rows that hold a text's number of words.
+WORDS = 15
+#: Of a hot value's group not all rows are counted; for the order of values it is taken as this large.
+MANY = 1 << 20
+#: Words of 64 bits in the bitmap of open hashes.
+BITMAP_BITS = 19
+_WIDE = 1 << 31
 
 
 def sliding(values: np.ndarray, length: int, least) -> np.ndarray:
@@ -89,6 +103,11 @@ def compact_windows(values: np.ndarray, length: int = TOKENS):
     return c[ok], l[ok], r[ok]
 
 
+def _spread(value, docs, payload):
+    """The route of a hot value's row from its value; and its value from the route."""
+    return value ^ mix(docs.view(_U) + payload.astype(_U))
+
+
 def _rows(key, docs, payload):
     """The rows of a batch, in order: route, the document's key, payload, and for hot values the first and the last document of
     the batch that has them. Rows are routed by their value, but for all rows of a hot value after its first."""
@@ -103,9 +122,9 @@ def _rows(key, docs, payload):
     hot = ((others >= HOT) | ((others > 1) & (end - begin >= 4 * HOT)))[of]
     spread, first, last = np.zeros(len(k), bool), np.zeros(len(k), np.int64), np.zeros(len(k), np.int64)
     spread[order], first[order], last[order] = hot & ~new, np.where(hot, d[begin][of], 0), np.where(hot, d[end - 1][of], 0)
-    route = np.where(spread, mix(key + mix(docs.view(_U) + payload.astype(_U))), key)
+    route = np.where(spread, _spread(key, docs, payload), key)
     witness = lambda x: pa.array(x, pa.int64(), mask=x == 0)
-    return pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(docs), pa.array(payload), witness(first), witness(last)], ["route", "key", "payload", "first", "last"])
+    return pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(docs), pa.array(payload), witness(first), witness(last), pa.array(spread)], ["route", "key", "payload", "first", "last", "spread"])
 
 
 def _runs(value, doc, begin, end):
@@ -134,6 +153,8 @@ def _windows(batches):
                 lo, hi = np.maximum(l, c - TOKENS + 1), np.minimum(c, r - TOKENS + 1)
                 value, d, lo, hi = _runs(mix(v[c] + _U(k)), doc[c], lo, hi)
                 out.append((value, d, (lo - first[d]) << 32 | (hi - lo) << 4 | k))
+            long_ = np.flatnonzero(w.n_words >= LENGTH)
+            out.append((mix(ids[begin:end][long_].view(_U)), long_, w.n_words[long_] << 4 | WORDS))
             key, d, payload = (np.concatenate(x) for x in zip(*out, strict=True))
             order = np.argsort(d, kind="stable")
             yield _rows(key[order], ids[begin:end][d[order]], payload[order])
@@ -157,7 +178,17 @@ def _cut(v, first, doc):
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Rows whose group has another document: key, payload, and the six witnesses, two to a column (0 where there is none)."""
+    """key and payload of rows whose group has another text, and of the rows with numbers of words; of equal texts once."""
+    order = Window.partitionBy("route").orderBy("key", "payload")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    again = F.lag("key").over(order).eqNullSafe(F.col("key")) & F.lag("payload").over(order).eqNullSafe(F.col("payload"))
+    seen = rows.withColumns({"_least": F.min("key").over(whole), "_most": F.max("key").over(whole), "_again": again})
+    return seen.filter(f"not _again and (_least <> _most or first <> last or payload & 15 = {WORDS})").select("key", "payload")
+
+
+def _witnessed(rows: DataFrame) -> DataFrame:
+    """Rows whose group has another text: key, payload, route, the group's size, whether it was spread, and the six
+    witnesses, two to a column (0 where there is none)."""
     hi, lo = (lambda c: F.shiftrightunsigned(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
     seen = rows.withColumn("_hi", hi("key")).withColumn("_lo", lo("key"))
     order = Window.partitionBy("route").orderBy("_hi")
@@ -170,7 +201,8 @@ def _shared(rows: DataFrame) -> DataFrame:
         return F.shiftleft(pick(a, "first"), 32).bitwiseOR(pick(b, "last"))
 
     packed = [pair("_hi", hi, "_hi_least", "_hi_most"), pair("_lo", lo, "_lo_least", "_lo_most"), pair("_hi", hi, "_before", "_after")]
-    return seen.select("key", "payload", *(x.alias(n) for x, n in zip(packed, WITNESSES, strict=True))).filter("ends <> 0 or others <> 0")
+    size = F.when(F.col("first").isNull(), F.count(F.lit(1)).over(whole)).otherwise(F.lit(MANY))
+    return seen.select("key", "payload", "route", size.cast("int").alias("size"), "spread", *(x.alias(n) for x, n in zip(packed, WITNESSES, strict=True))).filter("ends <> 0 or others <> 0")
 
 
 def _by_witness(t):
@@ -208,33 +240,56 @@ def _merged(d, begin, end):
     return of, x[first] - of * wide, y[last] - of * wide
 
 
-def _spans_batch(ids, d, begin, end):
-    docs, first = np.unique(d, return_index=True)
-    offsets = pa.array(np.concatenate([first, [len(d)]]), pa.int32())
+def _list(offsets, values, kind):
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values if isinstance(values, pa.Array) else pa.array(values, kind))
+
+
+def _offsets(of, n):
+    return np.searchsorted(of, np.arange(n + 1))
+
+
+def _spans(d, begin, end, n):
+    """The spans of n documents as lists; d is sorted."""
     pairs = pa.StructArray.from_arrays([pa.array(begin, pa.int32()), pa.array(end, pa.int32())], ["start", "end"])
-    return pa.RecordBatch.from_arrays([pa.array(ids[docs]), pa.ListArray.from_arrays(offsets, pairs)], ["key", "spans"])
+    return _list(_offsets(d, n), pairs, None)
+
+
+def _flat(column):
+    """The row and the value of each item of a column of lists; of structs two values."""
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    items = column.flatten()
+    values = items.flatten() if pa.types.is_struct(items.type) else [items]
+    return np.repeat(np.arange(len(lengths)), lengths), *(v.to_numpy(zero_copy_only=False).astype(np.int64) for v in values)
 
 
 def _candidates(batches):
-    """Token intervals where windows of ENOUGH functions meet with one witness. A document's windows of one function have
-    disjoint starts, so the number of intervals over a start is the number of functions."""
+    """Token intervals where windows of ENOUGH functions are shared, and the text's number of words. A document's windows of one
+    function have disjoint starts, so the number of intervals over a start is the number of functions."""
     for t, _, _ in groups(batches, ["key"]):
-        d, p, who, ids = _by_witness(t)
+        key, p = t.column("key").to_numpy(), t.column("payload").to_numpy()
+        d = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
+        ids = key[np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])]
+        order = np.lexsort((p, d))
+        d, p = d[order], p[order]
+        one = np.concatenate([[True], (d[1:] != d[:-1]) | (p[1:] != p[:-1])])  # equal texts have equal rows
+        d, p = d[one], p[one]
+        size = p & 15 == WORDS
+        words = np.zeros(len(ids), np.int64)
+        words[d[size]] = p[size] >> 4
+        d, p = d[~size], p[~size]
         begin = p >> 32
-        group = np.cumsum(np.concatenate([np.zeros(min(1, len(d)), bool), (d[1:] != d[:-1]) | (who[1:] != who[:-1])]))
         at = np.concatenate([begin, begin + ((p >> 4) & 0xFFFFFFF) + 1])
-        step = np.repeat(np.array([1, -1]), len(p))
-        group, doc = np.tile(group, 2), np.tile(d, 2)
-        order = np.lexsort((at, group))
-        at, group, doc = at[order], group[order], doc[order]
+        step, doc = np.repeat(np.array([1, -1]), len(p)), np.tile(d, 2)
+        order = np.lexsort((at, doc))
+        at, doc = at[order], doc[order]
         count = np.cumsum(step[order])
-        on = np.flatnonzero((count[:-1] >= ENOUGH) & (group[1:] == group[:-1]) & (at[1:] > at[:-1]))
-        if len(on):
-            yield _spans_batch(ids, *_merged(doc[on], at[on], at[on + 1] - 1 + TOKENS))
+        on = np.flatnonzero((count[:-1] >= ENOUGH) & (doc[1:] == doc[:-1]) & (at[1:] > at[:-1]))
+        spans = _spans(*_merged(doc[on], at[on], at[on + 1] - 1 + TOKENS), len(ids))
+        yield pa.RecordBatch.from_arrays([pa.array(ids), spans, pa.array(words)], ["key", "spans", "words"])
 
 
-def _tokens(batches):
-    """The shingles of candidates, as rows of value and position."""
+def _inside(batches):
+    """Keys of a piece of texts, and document, value and position of each shingle in their candidates."""
     for b in batches:
         ids = b.column(0).to_numpy()
         spans = b.column(2).to_pylist()
@@ -250,40 +305,231 @@ def _tokens(batches):
                     inside[min(first[d] + s["end"], first[d + 1])] -= 1
             at = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
             d = doc[at]
-            yield _rows(h[at], ids[begin:end][d], (at - first[d]).astype(np.int64))
+            yield ids[begin:end], d, h[at], (at - first[d]).astype(np.int64)
+
+
+def _tokens(batches):
+    """The shingles of candidates, as rows of value and position."""
+    for ids, d, h, at in _inside(batches):
+        yield _rows(h, ids[d], at)
+
+
+def _reach(group, at):
+    """First and last index of the longest runs of one group's rows that lie in TOKENS positions, NEED rows at least. Rows are
+    sorted by group and position."""
+    if not len(at):
+        return (np.zeros(0, np.int64),) * 2
+    place = group * (int(at.max()) + TOKENS + 2) + at
+    last = np.searchsorted(place, place + TOKENS) - 1
+    first = np.flatnonzero(last - np.arange(len(last)) + 1 >= NEED)
+    return first, last[first]
+
+
+def _within(spans, d, begin, end):
+    """Whether [begin, end) of document d lies in one of the merged spans."""
+    of, x, y = spans
+    if not len(of):
+        return np.zeros(len(d), bool)
+    at = np.searchsorted(of * _WIDE + x, d * _WIDE + begin, side="right") - 1
+    return (at >= 0) & ((of * _WIDE + y)[at] >= d * _WIDE + end)
+
+
+def _open(d, at, spans):
+    """First and last index of the runs of shared shingles that the spans leave open."""
+    first, last = _reach(d, at)
+    left = ~_within(spans, d[first], at[first], at[last] + SHINGLE)
+    return first[left], last[left]
+
+
+def _ranges(first, last, n):
+    """Which of n rows are in one of the ranges."""
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, first, 1)
+    np.add.at(step, last + 1, -1)
+    return np.cumsum(step[:-1]) > 0
 
 
 def _verified(batches):
-    """Word spans: subsequences of TOKENS shingles of which THRESHOLD have one witness, trimmed to the shingles that have it."""
-    need = int(np.ceil(THRESHOLD * TOKENS))
+    """The word spans that witnesses cover, and the shared shingles (position, value, size of group) of open runs."""
     for t, _, _ in groups(batches, ["key"]):
         d, at, who, ids = _by_witness(t)
-        if len(d) < need:
-            continue
-        group = np.cumsum(np.concatenate([[False], (d[1:] != d[:-1]) | (who[1:] != who[:-1])]))
-        far = need - 1
-        full = np.flatnonzero((group[far:] == group[: len(group) - far]) & (at[far:] - at[: len(at) - far] < TOKENS))
-        if not len(full):
+        first, last = _reach(np.cumsum(np.concatenate([np.zeros(min(1, len(d)), bool), (d[1:] != d[:-1]) | (who[1:] != who[:-1])])), at)
+        spans = _merged(d[first], at[first], at[last] + SHINGLE)
+        key, at, route = (t.column(n).to_numpy() for n in ("key", "payload", "route"))
+        spread, size = t.column("spread").to_numpy(), t.column("size").to_numpy()
+        d = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
+        order = np.lexsort((at, d))
+        order = order[np.concatenate([[True], (d[order][1:] != d[order][:-1]) | (at[order][1:] != at[order][:-1])])]
+        d, at, route, spread, size, key = (x[order] for x in (d, at, route, spread, size, key))
+        mine = _ranges(*_open(d, at, spans), len(d))
+        d, at, size = d[mine], at[mine], size[mine]
+        value = np.where(spread[mine], _spread(route[mine].view(_U), key[mine], at), route[mine].view(_U)).view(np.int64)
+        rest = _offsets(d, len(ids))
+        some = np.flatnonzero((rest[1:] > rest[:-1]) | (np.bincount(spans[0], minlength=len(ids)) > 0))
+        lists = [_spans(*spans, len(ids)), _list(rest, at, pa.int32()), _list(rest, value, pa.int64()), _list(rest, size, pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), *lists], ["key", "spans", "at", "value", "size"]).take(pa.array(some))
+
+
+def _runs_of(b):
+    """Of a batch of open shingles: document, position, value, size of group; the merged spans; the open runs."""
+    (d, at), (_, value), (_, size) = (_flat(b.column(n)) for n in ("at", "value", "size"))
+    spans = _merged(*_flat(b.column("spans")))
+    return d, at, value.view(_U), size, spans, *_open(d, at, spans)
+
+
+def _signatures(batches):
+    """A value for the shared shingles of each open run."""
+    for b in batches:
+        d, at, value, _, _, first, last = _runs_of(b)
+        total = np.concatenate([np.zeros(1, _U), np.cumsum(mix(value + _U(SHINGLE)), dtype=_U)])
+        sign = mix(total[last + 1] - total[first] + _U(1)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(sign), pa.array(b.column("key").to_numpy()[d[first]]), pa.array(at[first], pa.int32()), pa.array(at[last] + SHINGLE, pa.int32())], ["sign", "key", "start", "end"])
+
+
+def _probes(batches):
+    """Open stretches (overlapping open runs) with their shingles, and those values of which a text that adds a word has one."""
+    lanes = np.arange(TOKENS)
+    for b in batches:
+        d, at, value, size, spans, first, last = _runs_of(b)
+        if not len(first):
             continue
-        of, begin, end = _merged(group[full], np.maximum(at[full + far] - TOKENS + 1, 0), at[full] + TOKENS)
-        wide = int(max(at.max(), end.max())) + 2
-        place = group * wide + at
-        first, last = np.searchsorted(place, of * wide + begin), np.searchsorted(place, of * wide + end) - 1
-        yield _spans_batch(ids, *_merged(d[first], at[first], at[last] + SHINGLE))
+        settled = _within(spans, d, at, at + SHINGLE)
+        probe = np.zeros(len(d), bool)
+        for i in range(0, len(first), 1 << 14):
+            f, n = first[i : i + (1 << 14)], (last - first)[i : i + (1 << 14)] + 1
+            rows = np.minimum(f[:, None] + lanes, len(d) - 1)
+            inside = lanes < n[:, None]
+            cost = np.where(inside, size[rows], np.iinfo(np.int64).max)
+            rank = np.argsort(cost, axis=1, kind="stable")
+            rare = np.zeros(inside.shape, bool)
+            np.put_along_axis(rare, rank, lanes < (n - NEED + 1)[:, None], axis=1)
+            done = settled[rows] & inside
+            left, right = np.argmax(done, axis=1), TOKENS - 1 - np.argmax(done[:, ::-1], axis=1)
+            at_ = at[rows]
+            k = np.arange(len(f))
+            gap = done.any(axis=1) & ~_within(spans, d[f], at_[k, left], at_[k, np.minimum(right, TOKENS - 1)] + SHINGLE)
+            new = inside & ~done
+            cheaper = ~gap & (np.where(new, cost, 0).sum(axis=1) < np.where(rare, cost, 0).sum(axis=1))
+            probe[rows[np.where(cheaper[:, None], new, rare)]] = True
+        mine = _ranges(first, last, len(d))
+        head = np.concatenate([[True], first[1:] > last[:-1]])
+        start = first[head]
+        of = (np.searchsorted(start, np.arange(len(d)), side="right") - 1)[mine]
+        seek = probe[mine]
+        offsets = _offsets(of, len(start))
+        value, at32 = value[mine].view(np.int64), at[mine]
+        lists = [_list(offsets, at32, pa.int32()), _list(offsets, value, pa.int64()), _list(_offsets(of[seek], len(start)), value[seek], pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(b.column("key").to_numpy()[d[start]]), pa.array(at[start], pa.int32()), *lists], ["key", "start", "at", "value", "probe"])
+
+
+def _bit(value):
+    return value >> _U(64 - BITMAP_BITS - 6)
+
+
+def _having(bits):
+    """A text's values, sorted, that are in the bitmap of open ones."""
+
+    def run(batches):
+        for ids, d, h, _ in _inside(batches):
+            at = _bit(h)
+            on = np.flatnonzero(bits[at >> _U(6)] >> (at & _U(63)) & _U(1))
+            order = on[np.lexsort((h[on], d[on]))]
+            d, h = d[order], h[order]
+            one = np.concatenate([np.ones(min(1, len(d)), bool), (d[1:] != d[:-1]) | (h[1:] != h[:-1])])
+            d, h = d[one], h[one]
+            docs = np.unique(d)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[docs]), _list(np.concatenate([np.searchsorted(d, docs), [len(d)]]), h.view(np.int64), pa.int64())], ["other", "value"])
+
+    return run
+
+
+def _compared(batches):
+    """Spans that the text `other` covers of open stretches; its own values (key is null) come before these."""
+    have = np.zeros(0, _U)
+    for b in batches:
+        other, own, key = b.column("other").to_numpy(), pc.is_null(b.column("key")).to_numpy(zero_copy_only=False), pc.fill_null(b.column("key"), 0).to_numpy()
+        (row, value), (_, at) = _flat(b.column("value")), _flat(b.column("at"))
+        value, offsets = value.view(_U), _offsets(row, len(other))
+        before = np.concatenate([[0], np.cumsum(np.where(own, 0, np.diff(offsets)))])  # own rows have no positions
+        cut = np.concatenate([np.flatnonzero(own), [len(other)]])
+        for begin, end in zip(np.concatenate([[-1], cut[:-1]]), cut, strict=True):
+            if begin >= 0:
+                have = value[offsets[begin] : offsets[begin + 1]]
+            if begin + 1 == end or not len(have):
+                continue
+            v, r, a = value[offsets[begin + 1] : offsets[end]], row[offsets[begin + 1] : offsets[end]], at[before[begin + 1] : before[end]]
+            hit = have[np.minimum(np.searchsorted(have, v), len(have) - 1)] == v
+            r, a = r[hit], a[hit]
+            first, last = _reach(r, a)
+            r, x, y = _merged(r[first], a[first], a[last] + SHINGLE)
+            if len(r):
+                yield pa.RecordBatch.from_arrays([pa.array(key[r]), pa.array(x, pa.int32()), pa.array(y, pa.int32())], ["key", "start", "end"])
+
+
+def _union(batches):
+    for b in batches:
+        spans = _merged(*_flat(b.column("spans")))
+        yield pa.RecordBatch.from_arrays([b.column("key"), _spans(*spans, b.num_rows)], ["key", "spans"])
+
+
+def _as_list(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+
+def _rest(found: DataFrame, texts: DataFrame) -> list[DataFrame]:
+    """Tables of key and spans: what texts with the same open run, and all other partners, add to the spans found."""
+    kinds = "key long, start int, at array<int>, value array<long>"
+    open_ = found.filter("size(at) > 0")
+    signs = materialize(open_.mapInArrow(lean(_signatures), "sign long, key long, start int, end int"), "passage-signs")
+    twice = signs.groupBy("sign").agg(F.min("key").alias("_a"), F.max("key").alias("_b")).filter("_a <> _b").select("sign")
+    same = materialize(_as_list(signs.join(twice, "sign").select("key", "start", "end").distinct()), "passage-same")
+    more = same.withColumnRenamed("spans", "more")
+    spans = F.concat("spans", F.coalesce("more", F.array().cast(LIST))).alias("spans")
+    left = open_.join(more, "key", "left").select("key", spans, "at", "value", "size")
+    stretches = materialize(left.mapInArrow(lean(_probes), f"{kinds}, probe array<long>"), "passage-stretches")
+
+    place = F.shiftrightunsigned(F.col("v"), 64 - BITMAP_BITS - 6)
+    words = stretches.select(F.explode("value").alias("v")).select(place.alias("p")).selectExpr("shiftright(p, 6) as w", "shiftleft(1L, int(p & 63)) as bit")
+    table = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
+    if not table.num_rows:
+        return [same]
+    bits = np.zeros(1 << BITMAP_BITS, _U)
+    bits[table.column("w").to_numpy()] = table.column("bits").to_numpy().view(_U)
+    having = materialize(texts.mapInArrow(lean(_having(bits)), "other long, value array<long>"), "passage-having")
+
+    sought = stretches.select("key", "start", F.explode(F.array_distinct("probe")).alias("v"))
+    pairs = sought.join(having.select("other", F.explode("value").alias("v")), "v").filter("key <> other").select("key", "start", "other").distinct()
+    both = pairs.join(stretches.drop("probe"), ["key", "start"]).select("other", "key", "at", "value")
+    own = having.select("other", F.lit(None).cast("long").alias("key"), F.array().cast("array<int>").alias("at"), "value")
+    # nulls are first in this order
+    seen = own.unionByName(both).repartition("other").sortWithinPartitions("other", "key")
+    return [same, _as_list(seen.mapInArrow(lean(_compared), "key long, start int, end int").distinct())]
 
 
 def passages(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     """key, doc_id, spans (array of start, end in words): a row per document."""
-    d = docs.select(row_key(doc_id, text).alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    d = docs.select(row_key(doc_id, text).alias("key"), F.xxhash64(text).alias("t_key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     bounded_batches(d.sparkSession)
-    windows = _shared(d.select("key", "text").mapInArrow(lean(_windows), ROWS))
-    candidates = materialize(stream(windows, ["key"]).mapInArrow(lean(_candidates), SPANS), "passage-candidates")
-    c, _ = small(candidates.withColumnRenamed("key", "c_key"))
-    tokens = d.join(c, F.col("key") == F.col("c_key")).select("key", "text", "spans").mapInArrow(lean(_tokens), ROWS)
-    found = materialize(stream(_shared(tokens), ["key"]).mapInArrow(lean(_verified), SPANS), "passage-spans")
-    f, _ = small(found.withColumnRenamed("key", "f_key"))
-    out = d.select("key", "doc_id").join(f, F.col("key") == F.col("f_key"), "left")
-    return out.select("key", "doc_id", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
+    windows = d.select("t_key", "text").mapInArrow(lean(_windows), ROWS)
+    candidates = materialize(stream(_shared(windows), ["key"]).mapInArrow(lean(_candidates), f"{SPANS}, words long"), "passage-candidates")
+    #: A row per text; the row that stands for it.
+    texts = d.groupBy("t_key").agg(F.min("key").alias("c_row"), (F.min("key") != F.max("key")).alias("copied"))
+    candidates = materialize(candidates.withColumnRenamed("key", "c_key").join(texts, F.col("c_key") == F.col("t_key")).drop("t_key"), "passage-texts")
+    copied = candidates.filter("copied")
+    c, _ = small(materialize(candidates.filter("size(spans) > 0").select("c_row", "c_key", "spans"), "passage-wanted"))
+    wanted = d.join(c, F.col("key") == F.col("c_row")).select("c_key", "text", "spans")
+    tokens = wanted.mapInArrow(lean(_tokens), ROWS)
+    found = materialize(stream(_witnessed(tokens), ["key"]).mapInArrow(lean(_verified), f"{SPANS}, at array<int>, value array<long>, size array<int>"), "passage-witnessed")
+    settled = copied.select(F.col("c_key").alias("key"))
+    more = _rest(found.join(settled, "key", "left_anti"), wanted)
+    whole = copied.select(F.col("c_key").alias("key"), F.expr("array(named_struct('start', 0, 'end', int(words)))").cast(LIST).alias("spans"))
+    all_ = found.select("key", "spans")
+    for m in [whole, *more]:
+        all_ = all_.unionByName(m)
+    merged = all_.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans")).filter("size(spans) > 0")
+    f, _ = small(materialize(merged.mapInArrow(lean(_union), SPANS), "passage-spans").withColumnRenamed("key", "f_key"))
+    out = d.select("key", "t_key", "doc_id").join(f, F.col("t_key") == F.col("f_key"), "left")
+    return out.select("key", "doc_id", F.coalesce("spans", F.array().cast(LIST)).alias("spans"))
 
 
 def summary(found: DataFrame) -> DataFrame:

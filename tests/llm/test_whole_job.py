@@ -172,3 +172,30 @@ def test_judged_pages_equal_a_dense_computation(spark):
         assert abs(r.trust - t) < 1e-6 and abs(r.distrust - d) < 1e-6
         assert r.verdict == (v or ("block" if d > t else "allow"))
     assert {r.verdict for r in got if r.rule is None} == {"allow", "block"}
+
+
+def test_passages_equal_all_pairs_whatever_the_witnesses(spark):
+    """Pieces of a text are common, each among other texts, and only one text has them side by side: the witnesses of the pieces
+    differ. With copies, hot values and hot groups the words are those of all pairs."""
+    rng = random.Random(33)
+    words = [f"w{i}" for i in range(5000)]
+    prose = lambda n: [rng.choice(words) for _ in range(n)]
+    texts = []
+    for _ in range(2):
+        pieces = [prose(28) for _ in range(4)]
+        whole = sum(pieces, [])
+        texts += [prose(60) + whole + prose(60), prose(10) + whole + prose(90), whole[:70] + prose(40) + pieces[3]]
+        for p in pieces:
+            texts += [prose(rng.randint(30, 60)) + p + prose(rng.randint(30, 60)) for _ in range(16)]
+    line = prose(12)
+    texts += [prose(40) + line + prose(60) for _ in range(16)]
+    long_ = prose(80)
+    texts += [prose(rng.randint(5, 30)) + long_[rng.randint(0, 15) : rng.randint(65, 80)] + (line if i % 2 else []) + prose(20) for i in range(24)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    copied = [(10_000 + k, rows[5][1]) for k in range(30)] + [(20_000, "too short to be a passage"), (20_001, "too short to be a passage"), rows[9]]
+    d = spark.createDataFrame(rows + copied, "doc_id long, text string")
+    got = {r.doc_id: {k for s in r.spans for k in range(s.start, s.end)} for r in substring_dedup.passages(d).collect()}
+    want = dict(enumerate(brute_passages(texts)))
+    want |= {i: set(range(len(t.split()))) if i < 20_000 and i != 9 else set() for i, t in copied if i != 9} | {5: set(range(len(texts[5])))}
+    assert sum(map(bool, want.values())) > 25
+    assert {i: w for i, w in want.items() if got[i] != w} == {}
