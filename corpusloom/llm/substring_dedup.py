@@ -19,10 +19,14 @@ the union over all other texts, so it is enough to know, for each word, one text
   cover is settled. They only save work.
 * A subsequence with NEED shared shingles that isn't settled is open. If two texts have the same shared shingles in theirs, each
   covers the other's.
+* Open shingles are counted exactly among all candidates' texts. A stretch with shingles that more than WIDE texts have is
+  compared with up to LANES of these texts first, the same ones for all stretches of a group of near copies; what they cover is
+  settled too, so large groups need not meet in all pairs. These only save work as well.
 * For what is still open all partners are looked at. A text with NEED of m shared shingles has one at least of any m - NEED + 1
   of them; and if the settled words leave no gap in the middle, it adds words only if it has a shingle that isn't settled. The
-  cheaper of the two sets is looked up among all candidates' shingles, without a limit, and the texts so found are compared with
-  the open shingles. What a bitmap of open hashes lets through is compared in full, so it may be as full as it likes.
+  cheaper of the two sets is looked up among all candidates' shingles, without a limit (shingles that the very same texts have
+  once), and the texts so found are compared with the open shingles. What a bitmap of open hashes lets through is compared in
+  full, so it may be as full as it likes.
 
 A value that HOT documents of one batch have, or several often, would gather in one task; of such a value a batch sends one row to its group, and
 the others are spread and take as witnesses the first and last document of the batch that has it.
@@ -59,10 +63,12 @@ LIST = "array<struct<start:int,end:int>>"
 SPANS = f"key long, spans {LIST}"
 #: The function's number in rows that hold a text's number of words.
 WORDS = 15
-#: Of a hot value's group not all rows are counted; for the order of values it is taken as this large.
-MANY = 1 << 20
 #: Words of 64 bits in the bitmap of open hashes.
 BITMAP_BITS = 19
+#: A stretch with shingles that more texts than WIDE have is compared with one text for each of LANES orders of keys first.
+WIDE, LANES = 64, 16
+_LANES = mix(np.arange(1, LANES + 1, dtype=_U)).view(np.int64)
+SALTS = 16
 _WIDE = 1 << 31
 
 
@@ -187,8 +193,8 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def _witnessed(rows: DataFrame) -> DataFrame:
-    """Rows whose group has another text: key, payload, route, the group's size, whether it was spread, and the six
-    witnesses, two to a column (0 where there is none)."""
+    """Rows whose group has another text: key, payload, route, whether it was spread, and the six witnesses, two to a column (0
+    where there is none)."""
     hi, lo = (lambda c: F.shiftrightunsigned(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
     seen = rows.withColumn("_hi", hi("key")).withColumn("_lo", lo("key"))
     order = Window.partitionBy("route").orderBy("_hi")
@@ -201,8 +207,7 @@ def _witnessed(rows: DataFrame) -> DataFrame:
         return F.shiftleft(pick(a, "first"), 32).bitwiseOR(pick(b, "last"))
 
     packed = [pair("_hi", hi, "_hi_least", "_hi_most"), pair("_lo", lo, "_lo_least", "_lo_most"), pair("_hi", hi, "_before", "_after")]
-    size = F.when(F.col("first").isNull(), F.count(F.lit(1)).over(whole)).otherwise(F.lit(MANY))
-    return seen.select("key", "payload", "route", size.cast("int").alias("size"), "spread", *(x.alias(n) for x, n in zip(packed, WITNESSES, strict=True))).filter("ends <> 0 or others <> 0")
+    return seen.select("key", "payload", "route", "spread", *(x.alias(n) for x, n in zip(packed, WITNESSES, strict=True))).filter("ends <> 0 or others <> 0")
 
 
 def _by_witness(t):
@@ -350,47 +355,103 @@ def _ranges(first, last, n):
 
 
 def _verified(batches):
-    """The word spans that witnesses cover, and the shared shingles (position, value, size of group) of open runs."""
+    """The word spans that witnesses cover, and the shared shingles (position, value) of open runs."""
     for t, _, _ in groups(batches, ["key"]):
         d, at, who, ids = _by_witness(t)
         first, last = _reach(np.cumsum(np.concatenate([np.zeros(min(1, len(d)), bool), (d[1:] != d[:-1]) | (who[1:] != who[:-1])])), at)
         spans = _merged(d[first], at[first], at[last] + SHINGLE)
         key, at, route = (t.column(n).to_numpy() for n in ("key", "payload", "route"))
-        spread, size = t.column("spread").to_numpy(), t.column("size").to_numpy()
+        spread = t.column("spread").to_numpy()
         d = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
         order = np.lexsort((at, d))
         order = order[np.concatenate([[True], (d[order][1:] != d[order][:-1]) | (at[order][1:] != at[order][:-1])])]
-        d, at, route, spread, size, key = (x[order] for x in (d, at, route, spread, size, key))
+        d, at, route, spread, key = (x[order] for x in (d, at, route, spread, key))
         mine = _ranges(*_open(d, at, spans), len(d))
-        d, at, size = d[mine], at[mine], size[mine]
+        d, at = d[mine], at[mine]
         value = np.where(spread[mine], _spread(route[mine].view(_U), key[mine], at), route[mine].view(_U)).view(np.int64)
         rest = _offsets(d, len(ids))
         some = np.flatnonzero((rest[1:] > rest[:-1]) | (np.bincount(spans[0], minlength=len(ids)) > 0))
-        lists = [_spans(*spans, len(ids)), _list(rest, at, pa.int32()), _list(rest, value, pa.int64()), _list(rest, size, pa.int32())]
-        yield pa.RecordBatch.from_arrays([pa.array(ids), *lists], ["key", "spans", "at", "value", "size"]).take(pa.array(some))
+        lists = [_spans(*spans, len(ids)), _list(rest, at, pa.int32()), _list(rest, value, pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), *lists], ["key", "spans", "at", "value"]).take(pa.array(some))
 
 
 def _runs_of(b):
-    """Of a batch of open shingles: document, position, value, size of group; the merged spans; the open runs."""
-    (d, at), (_, value), (_, size) = (_flat(b.column(n)) for n in ("at", "value", "size"))
+    """Of a batch of open shingles: row, position, value; the merged spans; the open runs."""
+    (d, at), (_, value) = (_flat(b.column(n)) for n in ("at", "value"))
     spans = _merged(*_flat(b.column("spans")))
-    return d, at, value.view(_U), size, spans, *_open(d, at, spans)
+    return d, at, value.view(_U), spans, *_open(d, at, spans)
 
 
 def _signatures(batches):
     """A value for the shared shingles of each open run."""
     for b in batches:
-        d, at, value, _, _, first, last = _runs_of(b)
+        d, at, value, _, first, last = _runs_of(b)
         total = np.concatenate([np.zeros(1, _U), np.cumsum(mix(value + _U(SHINGLE)), dtype=_U)])
         sign = mix(total[last + 1] - total[first] + _U(1)).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(sign), pa.array(b.column("key").to_numpy()[d[first]]), pa.array(at[first], pa.int32()), pa.array(at[last] + SHINGLE, pa.int32())], ["sign", "key", "start", "end"])
 
 
+def _stretches(batches):
+    """Open stretches (overlapping open runs): their first position, the settled spans over them, their shingles."""
+    for b in batches:
+        d, at, value, (of, x, y), first, last = _runs_of(b)
+        if not len(first):
+            continue
+        head = np.concatenate([[True], first[1:] > last[:-1]])
+        begin, end = first[head], last[np.concatenate([head[1:], [True]])]
+        mine = _ranges(first, last, len(d))
+        offsets = _offsets((np.searchsorted(begin, np.arange(len(d)), side="right") - 1)[mine], len(begin))
+        # spans are disjoint and sorted, by row and start as by row and end
+        lo = np.searchsorted(of * _WIDE + y, d[begin] * _WIDE + at[begin], side="right")
+        n = np.searchsorted(of * _WIDE + x, d[end] * _WIDE + at[end] + SHINGLE) - lo
+        row = np.repeat(np.arange(len(begin)), n)
+        k = np.repeat(lo, n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        lists = [_spans(row, x[k], y[k], len(begin)), _list(offsets, at[mine], pa.int32()), _list(offsets, value[mine].view(np.int64), pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(b.column("key").to_numpy()[d[begin]]), pa.array(at[begin], pa.int32()), *lists], ["key", "stretch", "spans", "at", "value"])
+
+
+def _new(*columns):
+    """Where a row differs from the one before it."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
+def _picked(batches):
+    """Of each lane the text that most shingles of a stretch name."""
+    for b in batches:
+        names = b.column("picks").flatten().flatten().to_numpy().reshape(-1, LANES) ^ _LANES
+        row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column("picks")).to_numpy())
+        own = b.column("key").to_numpy()
+        row, lane, name = np.repeat(row, LANES), np.tile(np.arange(LANES), len(row)), names.ravel()
+        order = np.lexsort((name, lane, row))
+        order = order[name[order] != own[row[order]]]
+        row, lane, name = row[order], lane[order], name[order]
+        at = np.flatnonzero(_new(row, lane, name))
+        count = np.diff(np.concatenate([at, [len(row)]]))
+        row, lane, name = row[at], lane[at], name[at]
+        most = np.lexsort((name, -count, lane, row))
+        most = most[_new(row[most], lane[most])]
+        most = most[np.lexsort((name[most], row[most]))]
+        most = most[_new(row[most], name[most])]
+        yield pa.RecordBatch.from_arrays([pa.array(own[row[most]]), b.column("stretch").take(pa.array(row[most])), pa.array(name[most])], ["key", "stretch", "other"])
+
+
+def _total(chosen, s, a):
+    """How many texts the chosen shingles of each run lead to at most; of an atom's, which are neighbours, one counts."""
+    out = np.where(chosen, s, 0)
+    before = np.maximum.accumulate(np.where(chosen, np.arange(chosen.shape[1]), -1), axis=1)[:, :-1]
+    same = chosen[:, 1:] & (before >= 0) & (np.take_along_axis(a, np.maximum(before, 0), axis=1) == a[:, 1:])
+    out[:, 1:][same] = 0
+    return out.sum(axis=1)
+
+
 def _probes(batches):
-    """Open stretches (overlapping open runs) with their shingles, and those values of which a text that adds a word has one."""
+    """Of what is still open in a stretch, those values of which a text that adds a word has one: of an atom one value."""
     lanes = np.arange(TOKENS)
     for b in batches:
-        d, at, value, size, spans, first, last = _runs_of(b)
+        (d, size), (_, atom) = (_flat(b.column(n)) for n in ("size", "atom"))
+        _, at, value, spans, first, last = _runs_of(b)
         if not len(first):
             continue
         settled = _within(spans, d, at, at + SHINGLE)
@@ -400,26 +461,23 @@ def _probes(batches):
             rows = np.minimum(f[:, None] + lanes, len(d) - 1)
             inside = lanes < n[:, None]
             cost = np.where(inside, size[rows], np.iinfo(np.int64).max)
-            rank = np.argsort(cost, axis=1, kind="stable")
-            rare = np.zeros(inside.shape, bool)
-            np.put_along_axis(rare, rank, lanes < (n - NEED + 1)[:, None], axis=1)
+            rank = np.lexsort((atom[rows], cost), axis=1)
+            s, a = np.take_along_axis(cost, rank, axis=1), np.take_along_axis(atom[rows], rank, axis=1)
+            rare = np.broadcast_to(lanes, s.shape) < (n - NEED + 1)[:, None]
             done = settled[rows] & inside
             left, right = np.argmax(done, axis=1), TOKENS - 1 - np.argmax(done[:, ::-1], axis=1)
             at_ = at[rows]
             k = np.arange(len(f))
             gap = done.any(axis=1) & ~_within(spans, d[f], at_[k, left], at_[k, np.minimum(right, TOKENS - 1)] + SHINGLE)
-            new = inside & ~done
-            cheaper = ~gap & (np.where(new, cost, 0).sum(axis=1) < np.where(rare, cost, 0).sum(axis=1))
-            probe[rows[np.where(cheaper[:, None], new, rare)]] = True
-        mine = _ranges(first, last, len(d))
-        head = np.concatenate([[True], first[1:] > last[:-1]])
-        start = first[head]
-        of = (np.searchsorted(start, np.arange(len(d)), side="right") - 1)[mine]
-        seek = probe[mine]
-        offsets = _offsets(of, len(start))
-        value, at32 = value[mine].view(np.int64), at[mine]
-        lists = [_list(offsets, at32, pa.int32()), _list(offsets, value, pa.int64()), _list(_offsets(of[seek], len(start)), value[seek], pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(b.column("key").to_numpy()[d[start]]), pa.array(at[start], pa.int32()), *lists], ["key", "start", "at", "value", "probe"])
+            new = np.take_along_axis(inside & ~done, rank, axis=1)
+            cheaper = ~gap & (_total(new, s, a) < _total(rare, s, a))
+            probe[np.take_along_axis(rows, rank, axis=1)[np.where(cheaper[:, None], new, rare)]] = True
+        seek = np.flatnonzero(probe)
+        seek = seek[np.lexsort((value[seek], atom[seek], d[seek]))]
+        seek = seek[_new(d[seek], atom[seek])]
+        rows = np.unique(d[seek])
+        offsets = np.concatenate([np.searchsorted(d[seek], rows), [len(seek)]])
+        yield pa.RecordBatch.from_arrays([*(b.column(n).take(pa.array(rows)) for n in ("key", "stretch")), _list(offsets, value[seek].view(np.int64), pa.int64())], ["key", "stretch", "probe"])
 
 
 def _bit(value):
@@ -447,7 +505,7 @@ def _compared(batches):
     """Spans that the text `other` covers of open stretches; its own values (key is null) come before these."""
     have = np.zeros(0, _U)
     for b in batches:
-        other, own, key = b.column("other").to_numpy(), pc.is_null(b.column("key")).to_numpy(zero_copy_only=False), pc.fill_null(b.column("key"), 0).to_numpy()
+        other, own = b.column("other").to_numpy(), pc.is_null(b.column("key")).to_numpy(zero_copy_only=False)
         (row, value), (_, at) = _flat(b.column("value")), _flat(b.column("at"))
         value, offsets = value.view(_U), _offsets(row, len(other))
         before = np.concatenate([[0], np.cumsum(np.where(own, 0, np.diff(offsets)))])  # own rows have no positions
@@ -463,7 +521,7 @@ def _compared(batches):
             first, last = _reach(r, a)
             r, x, y = _merged(r[first], a[first], a[last] + SHINGLE)
             if len(r):
-                yield pa.RecordBatch.from_arrays([pa.array(key[r]), pa.array(x, pa.int32()), pa.array(y, pa.int32())], ["key", "start", "end"])
+                yield pa.RecordBatch.from_arrays([*(b.column(n).take(pa.array(r)) for n in ("key", "stretch")), pa.array(x, pa.int32()), pa.array(y, pa.int32())], ["key", "stretch", "start", "end"])
 
 
 def _union(batches):
@@ -472,24 +530,40 @@ def _union(batches):
         yield pa.RecordBatch.from_arrays([b.column("key"), _spans(*spans, b.num_rows)], ["key", "spans"])
 
 
-def _as_list(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+def _as_list(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.groupBy(*by).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+
+def _with(rows: DataFrame, spans: DataFrame, by: list[str]) -> DataFrame:
+    """rows, the spans that others found added to theirs."""
+    both = F.concat("spans", F.coalesce("_more", F.array().cast(LIST)))
+    return rows.join(spans.withColumnRenamed("spans", "_more"), by, "left").withColumn("spans", both).drop("_more")
+
+
+def _covered(pairs: DataFrame, stretches: DataFrame, having: DataFrame) -> DataFrame:
+    """The spans of stretches that the texts paired with them cover. A text that many stretches meet is dealt over SALTS tasks."""
+    salt = F.pmod(F.xxhash64("key", "stretch"), F.lit(SALTS))
+    both = pairs.join(stretches.select("key", "stretch", "at", "value"), ["key", "stretch"]).select("other", salt.alias("salt"), "key", "stretch", "at", "value")
+    none = [F.lit(None).cast("long").alias("key"), F.lit(None).cast("int").alias("stretch"), F.array().cast("array<int>").alias("at")]
+    own = pairs.select("other", salt.alias("salt")).distinct().join(having, "other").select("other", "salt", *none, "value")
+    # nulls are first in this order
+    seen = own.unionByName(both).repartition("other", "salt").sortWithinPartitions("other", "salt", "key")
+    return _as_list(seen.mapInArrow(lean(_compared), "key long, stretch int, start int, end int").distinct(), "key", "stretch")
 
 
 def _rest(found: DataFrame, texts: DataFrame) -> list[DataFrame]:
     """Tables of key and spans: what texts with the same open run, and all other partners, add to the spans found."""
-    kinds = "key long, start int, at array<int>, value array<long>"
+    by = ["key", "stretch"]
     open_ = found.filter("size(at) > 0")
     signs = materialize(open_.mapInArrow(lean(_signatures), "sign long, key long, start int, end int"), "passage-signs")
     twice = signs.groupBy("sign").agg(F.min("key").alias("_a"), F.max("key").alias("_b")).filter("_a <> _b").select("sign")
-    same = materialize(_as_list(signs.join(twice, "sign").select("key", "start", "end").distinct()), "passage-same")
-    more = same.withColumnRenamed("spans", "more")
-    spans = F.concat("spans", F.coalesce("more", F.array().cast(LIST))).alias("spans")
-    left = open_.join(more, "key", "left").select("key", spans, "at", "value", "size")
-    stretches = materialize(left.mapInArrow(lean(_probes), f"{kinds}, probe array<long>"), "passage-stretches")
+    same = materialize(_as_list(signs.join(twice, "sign").select("key", "start", "end").distinct(), "key"), "passage-same")
+    left = _with(open_.select("key", "spans", "at", "value"), same, ["key"])
+    stretches = materialize(left.mapInArrow(lean(_stretches), f"key long, stretch int, spans {LIST}, at array<int>, value array<long>"), "passage-stretches")
 
     place = F.shiftrightunsigned(F.col("v"), 64 - BITMAP_BITS - 6)
-    words = stretches.select(F.explode("value").alias("v")).select(place.alias("p")).selectExpr("shiftright(p, 6) as w", "shiftleft(1L, int(p & 63)) as bit")
+    values = stretches.select(F.explode("value").alias("v"))
+    words = values.select(place.alias("p")).selectExpr("shiftright(p, 6) as w", "shiftleft(1L, int(p & 63)) as bit")
     table = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
     if not table.num_rows:
         return [same]
@@ -497,13 +571,23 @@ def _rest(found: DataFrame, texts: DataFrame) -> list[DataFrame]:
     bits[table.column("w").to_numpy()] = table.column("bits").to_numpy().view(_U)
     having = materialize(texts.mapInArrow(lean(_having(bits)), "other long, value array<long>"), "passage-having")
 
-    sought = stretches.select("key", "start", F.explode(F.array_distinct("probe")).alias("v"))
-    pairs = sought.join(having.select("other", F.explode("value").alias("v")), "v").filter("key <> other").select("key", "start", "other").distinct()
-    both = pairs.join(stretches.drop("probe"), ["key", "start"]).select("other", "key", "at", "value")
-    own = having.select("other", F.lit(None).cast("long").alias("key"), F.array().cast("array<int>").alias("at"), "value")
-    # nulls are first in this order
-    seen = own.unionByName(both).repartition("other").sortWithinPartitions("other", "key")
-    return [same, _as_list(seen.mapInArrow(lean(_compared), "key long, start int, end int").distinct())]
+    # equal rows of documents count alike for all their values, so sums stay the same for the same texts
+    postings = having.select("other", F.explode("value").alias("v"))
+    part = lambda k: F.sum(F.xxhash64("other", F.lit(k)).bitwiseAND(F.lit((1 << 36) - 1)))
+    picks = F.array(*(F.min(F.col("other").bitwiseXOR(F.lit(int(x)))) for x in _LANES))
+    stats = postings.join(values.distinct(), "v", "left_semi").groupBy("v").agg(F.count(F.lit(1)).alias("size"), F.xxhash64(F.count(F.lit(1)), part(1), part(2)).alias("atom"), picks.alias("picks"))
+    known = stretches.select(*by, F.explode(F.arrays_zip("at", "value")).alias("_x")).select(*by, F.col("_x.at").alias("at"), F.col("_x.value").alias("v"))
+    known = known.join(stats.withColumn("picks", F.expr(f"if(size > {WIDE}, picks, null)")), "v")
+    known = known.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("at", "v", "size", "atom"))).alias("_x"), F.collect_list("picks").alias("picks"))
+    known = materialize(known.select(*by, F.col("_x.at").alias("at"), F.col("_x.v").alias("value"), F.col("_x.size").alias("size"), F.col("_x.atom").alias("atom"), "picks"), "passage-known")
+
+    wide = known.filter("size(picks) > 0").select(*by, "picks")
+    picked = materialize(wide.mapInArrow(lean(_picked), "key long, stretch int, other long"), "passage-picked")
+    some = materialize(_covered(picked, stretches, having), "passage-some")
+    still = _with(known.drop("picks").join(stretches.select(*by, "spans"), by), some, by)
+    sought = still.mapInArrow(lean(_probes), "key long, stretch int, probe array<long>").select(*by, F.explode("probe").alias("v"))
+    pairs = materialize(sought.join(postings, "v").filter("key <> other").select(*by, "other").distinct(), "passage-pairs")
+    return [same, some.select("key", "spans"), _covered(pairs, stretches, having).select("key", "spans")]
 
 
 def passages(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
@@ -519,7 +603,7 @@ def passages(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     c, _ = small(materialize(candidates.filter("size(spans) > 0").select("c_row", "c_key", "spans"), "passage-wanted"))
     wanted = d.join(c, F.col("key") == F.col("c_row")).select("c_key", "text", "spans")
     tokens = wanted.mapInArrow(lean(_tokens), ROWS)
-    found = materialize(stream(_witnessed(tokens), ["key"]).mapInArrow(lean(_verified), f"{SPANS}, at array<int>, value array<long>, size array<int>"), "passage-witnessed")
+    found = materialize(stream(_witnessed(tokens), ["key"]).mapInArrow(lean(_verified), f"{SPANS}, at array<int>, value array<long>"), "passage-witnessed")
     settled = copied.select(F.col("c_key").alias("key"))
     more = _rest(found.join(settled, "key", "left_anti"), wanted)
     whole = copied.select(F.col("c_key").alias("key"), F.expr("array(named_struct('start', 0, 'end', int(words)))").cast(LIST).alias("spans"))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import uuid
 
 import numpy as np
 import pytest
@@ -199,3 +200,36 @@ def test_passages_equal_all_pairs_whatever_the_witnesses(spark):
     want |= {i: set(range(len(t.split()))) if i < 20_000 and i != 9 else set() for i, t in copied if i != 9} | {5: set(range(len(texts[5])))}
     assert sum(map(bool, want.values())) > 25
     assert {i: w for i, w in want.items() if got[i] != w} == {}
+
+
+def test_near_copies_need_not_meet_in_all_pairs(spark, tmp_path, monkeypatch):
+    """The words are those of all pairs, but the stretches that meet whole texts grow with the group, not with its square."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    prose = lambda n: [rng.choice(words) for _ in range(n)]
+    base, texts = prose(130), []
+    for i in range(240):
+        w = list(base)
+        for k in rng.sample(range(130), 4):
+            w[k] = f"x{i}y{k}"
+        texts.append(prose(10) + w)
+    compared, folder = substring_dedup._compared, str(tmp_path)
+
+    def counted(batches):
+        n = []
+
+        def seen():
+            for b in batches:
+                n.append(b.num_rows - b.column("key").null_count)
+                yield b
+
+        yield from compared(seen())
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(sum(n)))
+
+    monkeypatch.setattr(substring_dedup, "_compared", counted)
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: {k for s in r.spans for k in range(s.start, s.end)} for r in substring_dedup.passages(d).collect()}
+    assert {i: w for i, w in enumerate(brute_passages(texts)) if got[i] != w} == {}
+    met = sum(int(p.read_text()) for p in tmp_path.iterdir())
+    assert 0 < met <= 20 * len(texts)
